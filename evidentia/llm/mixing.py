@@ -82,7 +82,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         last = level == LEVELS - 1
         inside = (F.col("_x") >= F.col("_low")) & (F.col("_x") < F.col("_low") + span)
         bars = (
-            sizes.join(F.broadcast(plan.select(F.col("_s").alias("_ps"), "_low")), F.col("_s").eqNullSafe(F.col("_ps")))
+            sizes.join(plan.select(F.col("_s").alias("_ps"), "_low"), F.col("_s").eqNullSafe(F.col("_ps")))
             .where(inside)
             .select(F.col("_s").alias("_bs"), F.floor((F.col("_x") - F.col("_low")) / step).cast("long").alias("_b"), "_size")
             .groupBy("_bs", "_b")
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         )
         running = Window.partitionBy("_bs").orderBy("_b")
         bars = bars.withColumn("_c", F.sum("_v").over(running)).join(
-            F.broadcast(plan.select(F.col("_s").alias("_ps"), F.col("_rest").alias("_pr"), F.col("_under").alias("_pu"))), F.col("_bs").eqNullSafe(F.col("_ps"))
+            plan.select(F.col("_s").alias("_ps"), F.col("_rest").alias("_pr"), F.col("_under").alias("_pu")), F.col("_bs").eqNullSafe(F.col("_ps"))
         )
         full = F.col("_pu") + F.col("_c")
         if last:  # a bucket is one hash value now: it is taken if that ends nearer to the budget
@@ -101,7 +101,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         edges = bars.groupBy("_bs").agg(edge.alias("_m"))
         beyond = F.lit(0 if last else 1 << BITS)  # no bucket goes beyond the budget
         plan = (
-            plan.join(F.broadcast(edges), F.col("_s").eqNullSafe(F.col("_bs")), "left")
+            plan.join(edges, F.col("_s").eqNullSafe(F.col("_bs")), "left")
             .select(
                 *keep,
                 (F.col("_low") + F.coalesce(F.col("_m.b"), beyond) * step).alias("_low"),
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         plan = cut(plan, f"{name}-level{level}")
     copies = F.col("_whole") + F.when(F.col("_x") < F.col("_low"), 1).otherwise(0)
     return (
-        sizes.join(F.broadcast(plan.withColumnRenamed("_s", "_ps")), F.col("_s").eqNullSafe(F.col("_ps")))
+        sizes.join(plan.withColumnRenamed("_s", "_ps"), F.col("_s").eqNullSafe(F.col("_ps")))
         .select(
             F.col("_k").alias(key),
             F.col("_size").alias("size"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import bpe, langid, mixing, toxicity, url_filter
+from evidentia.llm import bpe, langid, mixing, phrases, toxicity, url_filter, warc
 from evidentia.llm.common import session
 
 #: Host, path and verdict of the URL rules.
@@ -41,11 +41,19 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 URL_SQL = r"""
 WITH p AS (
   SELECT page_id,
@@ -67,7 +75,9 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_fingerprints": op5_fingerprints,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_warc": op10_warc,
 }
 
-ORACLE = {"op1_url_filter": URL_SQL, "op3_mixing": mixing.ORACLE}
+ORACLE = {"op1_url_filter": URL_SQL, "op3_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}
