@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import bpe, langid, mixing, phrases, toxicity, url_filter, warc
+from evidentia.llm import ann, bpe, langid, mixing, phrases, toxicity, url_filter, warc
 from evidentia.llm.common import session
 
 #: Host, path and verdict of the URL rules.
@@ -45,6 +45,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -76,6 +80,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_warc": op10_warc,
 }
