@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import ann, bpe, langid, mixing, phrases, toxicity, url_filter, warc
+from evidentia.llm import ann, bpe, langid, mixing, neardup, phrases, toxicity, url_filter, warc
 from evidentia.llm.common import session
 
 #: Host, path and verdict of the URL rules.
@@ -49,6 +49,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -81,6 +85,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints,
     "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_warc": op10_warc,
 }
