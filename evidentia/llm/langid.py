@@ -223,3 +223,20 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     found = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
     return found.select(F.col(key), held_out(F.col(key)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language with a score of ``least`` or more."""
+    shared = session(docs.sparkSession).sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            keep: list[bool] = []
+            for start in range(0, batch.num_rows, 64):
+                lang, score = own.predict(texts_of(batch.column(at), start, 64))
+                keep += [x != "und" and y >= least for x, y in zip(lang, score, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -55,15 +55,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: f
     )
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), most: float = 3.0, name: str = "mix") -> DataFrame:
-    """Return ``key, size, source_size, target, copies, taken`` for every row of ``docs``.
-
-    ``taken`` is ``copies`` times ``size``; the sum over a source ends at the document nearest to
-    the target.  Empty texts have size 0 and take 0 words.  A null source is a source of its own.
-    Repeated rows with one key share a hash and so a decision.  A null key is hashed as the empty
-    text.  A source without words has target 0.  Other columns are not read; empty tables give
-    empty results.  The same rows always give the same mix.
-    """
+def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), most: float = 3.0, name: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """The sizes of all documents (``_k, _s, _size, _x``) and, by source ``_s``, what decides on its documents:
+    ``source_size, target, _whole`` (times that every document is taken) and ``_low`` (the hash under which one is taken once more)."""
     sizes = cut(
         docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), words(F.col(text)).alias("_size")).withColumn("_x", hash60(F.col("_k"))),
         name + "-sizes",
@@ -109,17 +103,44 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             )
         )
         plan = cut(plan, f"{name}-level{level}")
-    copies = F.col("_whole") + F.when(F.col("_x") < F.col("_low"), 1).otherwise(0)
+    return sizes, plan
+
+
+def copies(x: Column) -> Column:
+    """How often a document with hash ``x`` is taken, beside the columns of its source's plan."""
+    return (F.col("_whole") + F.when(x < F.col("_low"), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """Return ``key, size, source_size, target, copies, taken`` for every row of ``docs``.
+
+    ``taken`` is ``copies`` times ``size``; the sum over a source ends at the document nearest to
+    the target.  Empty texts have size 0 and take 0 words.  A null source is a source of its own.
+    Repeated rows with one key share a hash and so a decision.  A null key is hashed as the empty
+    text.  A source without words has target 0.  Other columns are not read; empty tables give
+    empty results.  The same rows always give the same mix.
+    """
+    sizes, own = plan(docs, key, **options)
+    return sizes.join(own.withColumnRenamed("_s", "_ps"), F.col("_s").eqNullSafe(F.col("_ps"))).select(
+        F.col("_k").alias(key),
+        F.col("_size").alias("size"),
+        "source_size",
+        "target",
+        copies(F.col("_x")).alias("copies"),
+        (copies(F.col("_x")) * F.col("_size")).cast("long").alias("taken"),
+    )
+
+
+def take(docs: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, with their columns, each as often as the mix takes it; the texts stay where they are."""
+    _, own = plan(docs, key, source=source, **options)
+    own = own.select(F.col("_s").alias("_mix_source"), "_whole", "_low")
     return (
-        sizes.join(plan.withColumnRenamed("_s", "_ps"), F.col("_s").eqNullSafe(F.col("_ps")))
-        .select(
-            F.col("_k").alias(key),
-            F.col("_size").alias("size"),
-            "source_size",
-            "target",
-            copies.cast("long").alias("copies"),
-            (copies * F.col("_size")).cast("long").alias("taken"),
-        )
+        docs.join(own, F.col(source).eqNullSafe(F.col("_mix_source")))
+        .withColumn("_copies", copies(hash60(F.col(key))))
+        .where("_copies > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select(docs.columns)
     )
 
 

@@ -91,7 +91,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """
     work = cut(edges.select(F.col("a"), F.col("b")).distinct(), f"{name}-e0")
     before = None
-    for i in range(200):
+    for i in range(0 if work.isEmpty() else 200):
         both = work.unionByName(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

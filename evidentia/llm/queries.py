@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import ann, bpe, langid, mixing, neardup, phrases, toxicity, url_filter, warc
+from evidentia.llm import ann, bpe, langid, licenses, mixing, neardup, phrases, toxicity, url_filter, warc
 from evidentia.llm.common import session
 
 #: Host, path and verdict of the URL rules.
@@ -58,6 +58,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
 }
 

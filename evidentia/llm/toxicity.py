@@ -214,6 +214,21 @@ def fit(
     return Model({int(i): float(x) for i, x in zip(vocabulary, w, strict=True)}, float(b), slope, offset)
 
 
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is under ``threshold``; null texts count as empty."""
+    shared = session(docs.sparkSession).sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, tuple[int, int]] = {}
+        own = shared.value
+        for batch in batches:
+            keep = [own.score(features(x, memo)) < threshold for x in texts_of(batch.column(at), 0, batch.num_rows)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Return ``key, held_out, score, predicted`` for every row of ``docs``, from the text alone.
 
