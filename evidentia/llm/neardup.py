@@ -105,6 +105,26 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return work.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose two nodes are in different components."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _merge(roots: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """``node, root`` after more links: components of the components, so that only their roots meet."""
+    if roots is None:
+        return cut(components(links, name), f"{name}-roots")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
+    edges = between.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    over = cut(components(edges, name), f"{name}-over")
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = over.join(roots, "node", "left_anti")
+    return cut(moved.unionByName(fresh), f"{name}-roots")
+
+
 def _sets(docs: DataFrame, size: int, positions: int) -> DataFrame:
     """``doc, n, digest, sig`` of each row; digest and sig are null without shingles."""
     a, b = _hashes(positions)
@@ -150,7 +170,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name:
     by a and by b; sets are made and compared in numpy.
     """
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    own = cut(texts.join(wanted, "doc", "left_semi"), f"{name}-texts")
+    own = cut(texts.join(wanted.hint("merge"), "doc", "left_semi"), f"{name}-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
@@ -276,25 +296,28 @@ def near_duplicates(
     regions = cut(nodes(classes, depth), "near-regions")
     crowded = regions.where(F.col("count") > crowd).select("rep").distinct()
     dense = cut(nodes(classes.join(crowded, "rep", "left_semi"), depth + deeper), "near-dense")
-    star = (
+    star = cut(
         regions.unionByName(dense)
         .where((F.col("rep") != F.col("first.rep")) & alike)
         .select(F.col("rep").alias("a"), F.col("first.rep").alias("b"))
-        .distinct()
+        .distinct(),
+        "near-star",
+    )
+    # most of a group of copies hangs on its smallest member: one pair for each member settles it
+    first = cut(star.groupBy("a").agg(F.min("b").alias("b")), "near-first")
+    roots = _merge(None, _confirm(first, rows, size, percent, "near-1"), "near-c1")
+    rest = _apart(star, roots).join(first, ["a", "b"], "left_anti")
+    roots = _merge(roots, _confirm(cut(rest, "near-other"), rows, size, percent, "near-2"), "near-c2")
+    placed = cut(
+        regions.select("key", "count", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")),
+        "near-placed",
     )
-    star = cut(star, "near-star")
-    links = _confirm(star, rows, size, percent, "near-1")
-    roots = cut(components(links, "near-c1"), "near-roots")
-    open_ = F.coalesce("root", "rep")
-    placed = regions.select("key", "count", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", open_)
-    placed = cut(placed, "near-placed")
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     members = placed.join(split, "key", "left_semi").join(classes.select("rep", "sig"), "rep")
     level = percent / 100
     least = level - 5.5 * (level * (1 - level) / positions) ** 0.5
     rest = cut(_remaining(members, positions, least, block).join(star, ["a", "b"], "left_anti"), "near-rest")
-    more = _confirm(rest, rows, size, percent, "near-2")
-    final = components(links.unionByName(more), "near-c2")
+    final = _merge(roots, _confirm(rest, rows, size, percent, "near-3"), "near-c3")
     named = classes.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     component = F.when(F.col("doc").isNotNull(), F.coalesce("root", "doc"))
     return (
