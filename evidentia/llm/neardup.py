@@ -10,8 +10,8 @@ prefix) on the full shingle sets.
 
 That leaves pairs of a region that are in different components of the links found so far.  They
 are gone through exactly: members of such regions are dealt into blocks, pairs of blocks are
-compared by signature in numpy, and what might be a link is confirmed on the full sets.  Nothing
-is capped: a large region only has more blocks.
+compared by signature in numpy, and what might be a link is confirmed on the full sets in the
+same task, which only links leave.  Nothing is capped: a large region only has more blocks.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def _sets(docs: DataFrame, size: int, positions: int) -> DataFrame:
 
 
 def _keys(reps: DataFrame, orders: np.ndarray, depth: int) -> DataFrame:
-    """``rep, n, key``: the prefixes of a depth in all trees, each as a 64-bit name that holds the tree."""
+    """``rep, n, key, tree``: the prefixes of a depth in all trees, each as a 64-bit name that holds the tree."""
     trees = len(orders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +158,10 @@ def _keys(reps: DataFrame, orders: np.ndarray, depth: int) -> DataFrame:
             for j in range(depth):
                 key = _mix(key * U(0x9E3779B97F4A7C15) + sig[:, orders[:, j]])
             rep, n = (np.repeat(batch.column(i).to_numpy(), trees) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n), pa.array(key.ravel().astype(np.int64))], ["rep", "n", "key"])
+            tree = np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n), pa.array(key.ravel().astype(np.int64)), pa.array(tree)], ["rep", "n", "key", "tree"])
 
-    return reps.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, key long")
+    return reps.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, key long, tree int")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
@@ -198,53 +199,117 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name:
     return cut(met.mapInArrow(compare, "a long, b long"), f"{name}-links")
 
 
-def _remaining(members: DataFrame, positions: int, least: float, size: int) -> DataFrame:
-    """Pairs of a region in different components whose signatures agree in a share of ``least`` of the positions or more.
+#: Columns of a unit: a pair of blocks of a region.
+UNIT = "key long, i int, j int, second boolean, tree int, rep long, root long, n long, sig binary"
 
-    ``members`` has key, count, rep, root, sig.  A region of c members has ceil(c / size) blocks, and each
-    pair of blocks is one unit, however large the region.
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each unit; they come sorted by key, i, j."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _candidates(unit: list[tuple], prefixes: np.ndarray, percent: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Row x of a unit and the rows y that may be linked to it, each pair of different roots once.
+
+    Signatures must agree in ``least`` positions.  A pair that shares a prefix in an earlier tree
+    is left to that tree, where it is met in the same way.
     """
-    blocks = F.ceil(F.col("count") / size).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
+    column = lambda k, t: np.array([r[k] for r in unit], t)
+    second, root, n = column(3, bool), column(6, np.int64), column(7, np.int64)
+    sig = np.frombuffer(b"".join(r[8] for r in unit), np.uint16).reshape(len(unit), -1)
+    whole, earlier = unit[0][1] == unit[0][2], prefixes[: unit[0][4]]
+    one, two = (np.arange(len(unit)),) * 2 if whole else (np.flatnonzero(~second), np.flatnonzero(second))
+    for x in one:
+        ok = (root[two] != root[x]) & (100 * np.minimum(n[two], n[x]) >= percent * np.maximum(n[two], n[x]))
+        y = two[ok & (two > x)] if whole else two[ok]
+        if not len(y):
+            continue
+        agree = sig[y] == sig[x]
+        near = agree.sum(1) >= least
+        y, agree = y[near], agree[near]
+        if len(earlier) and len(y):
+            y = y[~agree[:, earlier].all(2).any(1)]
+        if len(y):
+            yield x, y
+
+
+def _by_unit(df: DataFrame) -> DataFrame:
+    return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+
+def _suspects(members: DataFrame, prefixes: np.ndarray, percent: int, least: float, size: int, mass: int) -> DataFrame:
+    """The rows of units that have a candidate.
+
+    ``members`` has key, count, mass, tree, rep, root, n, sig.  A region has so many blocks that none
+    has much more than ``size`` members or ``mass`` shingles, and each pair of blocks is one unit,
+    however large the region.
+    """
+    blocks = F.greatest(F.ceil(F.col("count") / size), F.ceil(F.col("mass") / mass), F.lit(1)).cast("int")
     units = (
         members.withColumn("_blocks", blocks)
-        .withColumn("_own", own)
+        .withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks").cast("long")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).alias("second"), "rep", "root", "sig")
+        .withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other"), "second": F.col("_own") > F.col("_other")})
+        .select("key", "i", "j", "second", "tree", "rep", "root", "n", "sig")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-            rep = np.array([r[4] for r in rows], np.int64)
-            root = np.array([r[5] for r in rows], np.int64)
-            second = np.array([r[3] for r in rows], bool)
-            sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(rows), -1)
-            one, two = (np.arange(len(rows)),) * 2 if rows[0][1] == rows[0][2] else (np.flatnonzero(~second), np.flatnonzero(second))
-            found = []
-            for x in one:
-                other = two[root[two] != root[x]]
-                if rows[0][1] == rows[0][2]:
-                    other = other[other > x]
-                if len(other):
-                    hit = other[(sig[other] == sig[x]).sum(1) >= least * positions]
-                    found += [(max(rep[x], rep[y]), min(rep[x], rep[y])) for y in hit]
-            pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
-            return pairs[:, 0], pairs[:, 1]
-
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
-                    a, b = done(held)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                    held = []
-                held.append(row)
-        if held:
-            a, b = done(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = [c.split()[0] for c in UNIT.split(", ")]
+        for unit in _units(batches):
+            met = np.zeros(len(unit), bool)
+            for x, y in _candidates(unit, prefixes, percent, least):
+                met[x] = True
+                met[y] = True
+            rows = [unit[k] for k in np.flatnonzero(met)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return _by_unit(units).mapInArrow(run, UNIT)
 
-    return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep").mapInArrow(run, "a long, b long").distinct()
+
+def _links(suspects: DataFrame, texts: DataFrame, prefixes: np.ndarray, size: int, percent: int, least: float, name: str) -> DataFrame:
+    """``a, b`` (a > b): of the links within each unit a forest that connects what they connect.
+
+    Candidates are confirmed on the full sets where their unit is; pairs that links of the unit have
+    already joined are not compared again, and only links leave the task.
+    """
+    wanted = suspects.select(F.col("rep").alias("doc")).distinct()
+    own = cut(texts.join(wanted.hint("merge"), "doc", "left_semi").dropDuplicates(["doc", "text"]), f"{name}-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        for unit in _units(batches):
+            sets = [shingles(r[9], size, memo) for r in unit]
+            end = np.cumsum([len(s) for s in sets])
+            names, code = np.unique(np.concatenate(sets), return_inverse=True)
+            codes = np.split(code, end[:-1])
+            own_set = np.zeros(len(names), bool)
+            part = np.unique([r[6] for r in unit], return_inverse=True)[1]
+            found = []
+            for x, ys in _candidates(unit, prefixes, percent, least):
+                own_set[codes[x]] = True
+                for y in ys:
+                    if part[x] == part[y]:
+                        continue
+                    both = np.count_nonzero(own_set[codes[y]])
+                    if both and 100 * both >= percent * (len(codes[x]) + len(codes[y]) - both):
+                        found.append((unit[x][5], unit[y][5]))
+                        part[part == part[y]] = part[x]
+                own_set[codes[x]] = False
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([max(p) for p in found], pa.int64()), pa.array([min(p) for p in found], pa.int64())], ["a", "b"])
+
+    met = suspects.join(own.withColumnRenamed("doc", "rep"), "rep").select(*[c.split()[0] for c in UNIT.split(", ")], "text")
+    return cut(_by_unit(met).mapInArrow(run, "a long, b long"), f"{name}-links")
 
 
 def near_duplicates(
@@ -258,7 +323,8 @@ def near_duplicates(
     depth: int = 8,
     deeper: int = 8,
     crowd: int = 64,
-    block: int = 128,
+    block: int = 512,
+    mass: int = 4_000_000,
 ) -> DataFrame:
     """Return ``key, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -288,7 +354,7 @@ def near_duplicates(
     alike = 100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")
 
     def nodes(reps: DataFrame, at: int) -> DataFrame:
-        """``key, rep, n, count, first`` of the members of the nodes at a depth that have two or more."""
+        """``key, tree, rep, n, count, first`` of the members of the nodes at a depth that have two or more."""
         keys = _keys(reps, orders, at)
         shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("rep", "n")).alias("first")).where("count > 1")
         return keys.join(shared, "key")
@@ -309,15 +375,16 @@ def near_duplicates(
     rest = _apart(star, roots).join(first, ["a", "b"], "left_anti")
     roots = _merge(roots, _confirm(cut(rest, "near-other"), rows, size, percent, "near-2"), "near-c2")
     placed = cut(
-        regions.select("key", "count", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")),
+        regions.select("key", "tree", "count", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")),
         "near-placed",
     )
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    members = placed.join(split, "key", "left_semi").join(classes.select("rep", "sig"), "rep")
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("mass")).where("lo < hi").select("key", "mass")
+    members = placed.join(split, "key").join(classes.select("rep", "sig"), "rep")
     level = percent / 100
-    least = level - 5.5 * (level * (1 - level) / positions) ** 0.5
-    rest = cut(_remaining(members, positions, least, block).join(star, ["a", "b"], "left_anti"), "near-rest")
-    final = _merge(roots, _confirm(rest, rows, size, percent, "near-3"), "near-c3")
+    least = positions * (level - 5.5 * (level * (1 - level) / positions) ** 0.5)
+    prefixes = orders[:, :depth]
+    suspects = cut(_suspects(members, prefixes, percent, least, block, mass), "near-suspects")
+    final = _merge(roots, _links(suspects, rows, prefixes, size, percent, least, "near-3"), "near-c3")
     named = classes.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     component = F.when(F.col("doc").isNotNull(), F.coalesce("root", "doc"))
     return (
