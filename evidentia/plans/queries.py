@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.functions.ids import content_digest, derive_id
-from evidentia.operators import admit, classify, claims, ground, ledger, validate
+from evidentia.operators import admit, classify, claims, ground, ledger, outcome, validate
 from evidentia.plans.synthetic import perf_graph
 
 CHANNELS = ["USER_MESSAGE", "RETRIEVED_DOC", "TOOL_RESULT", "SYSTEM_ALERT", "DIAGNOSTIC_LOG", "AGENT_OUTPUT", "CACHE", "UNLABELED"]
@@ -225,11 +225,54 @@ def trace_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.join(nodes.select("id", "kind"), "id").groupBy(F.size("path_nodes").cast("long").alias("length"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pipeline_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both gates over the conversations."""
+    outputs, checked, assessed = _audited(spark, sf_dir)
+    return outcome.run_outcomes(checked, ground.run_verdicts(outputs, assessed))
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document a run of one chunk in the slot signals, without claims, labelled by doc_id."""
+    policy = admit.policy_slots(spark, [r for r in admit.DEFAULT_POLICY if r[0] == "signals"])
+    checked = admit.check_slot(classify.classify(varied(spark, sf_dir)), policy).withColumns({"run_id": F.col("doc_id"), "ordinal": F.lit(0)})
+    none = checked.select("run_id", F.lit("allow").alias("decision"), F.array().cast("array<string>").alias("reasons"))
+    i = F.col("run_id")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    labels = {
+        "difficulty": pick(outcome.DIFFICULTIES[:2], i % 2), "provenance": pick(outcome.PROVENANCES, F.floor(i / 2) % 2), "should_block": i % 9 < 7,
+        "expected": F.when(i % 9 < 7, "inbound").otherwise("either"),
+    }
+    return outcome.run_outcomes(checked, none, "monitor").withColumns(labels).withColumn("actual", F.col("stage"))
+
+
+def monitor_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signals(spark, sf_dir).select(F.col("run_id").alias("doc_id"), "would_block", "stage", "reason_code", "outcome")
+
+
+def recall_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axes = {"difficulty": outcome.DIFFICULTIES, "provenance": outcome.PROVENANCES}
+    return outcome.rates(_signals(spark, sf_dir), F.col("should_block"), axes).select("difficulty", "provenance", "numerator", "denominator")
+
+
+def false_positive_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcome.rates(_signals(spark, sf_dir), ~F.col("should_block"), {"difficulty": outcome.DIFFICULTIES}).select("difficulty", "numerator", "denominator")
+
+
+def gate_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcome.gate_breakdown(_signals(spark, sf_dir))
+
+
+def shape_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = classify.prepare(varied(spark, sf_dir))
+    return d.select("doc_id", outcome.shape_flag(F.col("text"), F.col("_trim"), F.col("_json.parses")).alias("flagged"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         chunk_identity, text_forms, signature_classify, slot_admission, admission_counts, claims_extract, ground_assess, audit_verdict, ledger_nodes, ledger_edges,
-        ledger_chunk_ids, validate_ledger, perf_fixture, impact_kinds, trace_lengths,
+        ledger_chunk_ids, validate_ledger, perf_fixture, impact_kinds, trace_lengths, pipeline_outcome, monitor_outcome,
+        recall_rates, false_positive_rates, gate_breakdown, shape_baseline,
     )
 }
 
@@ -251,6 +294,16 @@ a AS (
 """
 _ID = """'pg:local:{kind}:' || substr(sha256('[1,"local","{kind}",[' || {fields} || ']]'), 1, 32)"""
 
+_RUNS = """
+o AS (
+  SELECT doc_id, len(r) > 0 AS would_block, CASE WHEN len(r) > 0 THEN 'inbound' ELSE 'none' END AS stage, r[1] AS reason_code, doc_id % 9 < 7 AS should_block,
+    (['basic','hard'])[doc_id % 2 + 1] AS difficulty, (['derived','constructed'])[doc_id // 2 % 2 + 1] AS provenance,
+    CASE WHEN doc_id % 9 < 7 THEN 'inbound' ELSE 'either' END AS expected
+  FROM a WHERE slot = 'signals'
+)
+"""
+_GRID = "(VALUES ('basic'), ('hard'), ('mixed')) x(difficulty)"
+
 ORACLE: dict[str, str] = {
     "chunk_identity": f"""
 WITH {VARIED}, i AS (SELECT *, sha256(text) AS d FROM h)
@@ -291,4 +344,16 @@ WITH n AS (SELECT count(*) AS n FROM supplier)
 SELECT k AS kind, CAST(d AS INTEGER) AS distance, n FROM n, (VALUES ('Artifact', 1), ('Artifact', 2), ('Artifact', 3), ('Chunk', 4), ('Claim', 5), ('Output', 6)) t(k, d)""",
     "trace_lengths": """
 WITH n AS (SELECT count(*) AS n FROM supplier) SELECT CAST(l AS BIGINT) AS length, k AS kind, n FROM n, (VALUES (6, 'Source')) t(l, k)""",
+    "monitor_outcome": f"WITH {VARIED}, {_SLOTS}, {_RUNS} SELECT doc_id, would_block, stage, reason_code, 'allow' AS outcome FROM o",
+    "recall_rates": f"""WITH {VARIED}, {_SLOTS}, {_RUNS}
+SELECT x.difficulty, y.provenance, count(*) FILTER (o.would_block) AS numerator, count(o.doc_id) AS denominator
+FROM {_GRID} CROSS JOIN (VALUES ('derived'), ('constructed')) y(provenance)
+LEFT JOIN o ON o.difficulty = x.difficulty AND o.provenance = y.provenance AND should_block GROUP BY ALL""",
+    "false_positive_rates": f"""WITH {VARIED}, {_SLOTS}, {_RUNS}
+SELECT x.difficulty, count(*) FILTER (o.would_block) AS numerator, count(o.doc_id) AS denominator
+FROM {_GRID} LEFT JOIN o ON o.difficulty = x.difficulty AND NOT should_block GROUP BY ALL""",
+    "gate_breakdown": f"""WITH {VARIED}, {_SLOTS}, {_RUNS}
+SELECT expected, stage AS actual, count(*) AS n, CAST(grouping(expected, stage) AS BIGINT) AS level FROM o GROUP BY GROUPING SETS ((expected), (stage), (expected, stage))""",
+    "shape_baseline": f"""WITH {VARIED}
+SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' OR (regexp_matches(text, '^\\s*[{{\\[]') AND NOT json_valid(text)) AS flagged FROM v""",
 }
