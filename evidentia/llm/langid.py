@@ -180,6 +180,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     x = np.zeros((len(label), DIMENSIONS), np.float32)
     for i, v in enumerate(got.column("x")):
         x[i] = np.frombuffer(v.as_buffer(), np.float16)
+    del got
     own = sorted(set(label.tolist()))
     families = sorted({family_of(v) for v in own})
     languages = {f: [v for v in own if family_of(v) == f] for f in families}
@@ -189,8 +190,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     def pair(a: np.ndarray, b: np.ndarray) -> int:
         rows = np.flatnonzero(a | b)
         y = np.where(a[rows], 1.0, -1.0).astype(np.float32)
-        w, c = train_svm(x[rows], y)
-        size = np.abs(x[rows] @ w + c)
+        part = x if len(rows) == len(x) else x[rows]  # the sample is large: no second copy of all of it
+        w, c = train_svm(part, y)
+        size = np.abs(part @ w + c)
         weights.append(w)
         bias.append(c)
         slope.append(4.0 / max(float(np.median(size)), 1e-3))  # the median margin counts as 98 % sure
