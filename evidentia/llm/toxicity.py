@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import held_out, session, texts_of, unit_hash
+from evidentia.llm.common import cut, held_out, session, texts_of, unit_hash
 
 TOKEN = re.compile(r"[^\W\d_]+")
 STEM = 5
@@ -71,29 +71,50 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _screen(pos: list[np.ndarray], other: list[np.ndarray], least: int, z: float, most: int) -> np.ndarray:
-    """Features with a clearly different frequency among positives, the clearest first."""
-    ids, inverse = np.unique(np.concatenate([*pos, *other, np.zeros(0, np.int64)]), return_inverse=True)
-    cut = sum(map(len, pos))
-    a = np.bincount(inverse[:cut], minlength=len(ids)) + 0.0
-    b = np.bincount(inverse[cut:], minlength=len(ids)) + 0.0
-    n, m = max(len(pos), 1), max(len(other), 1)
-    share = (a + b) / (n + m)
-    spread = np.sqrt(share * (1 - share) * (1 / n + 1 / m)) + 1e-12
-    value = np.abs(a / n - b / m) / spread
-    good = np.flatnonzero((a + b >= least) & (value >= z))
-    return ids[good[np.argsort(-value[good], kind="stable")][:most]]
+def _screen(sets: DataFrame, n: int, m: int, least: int, z: float, most: int) -> np.ndarray:
+    """Features with a clearly different frequency among the ``n`` positives and the ``m`` unlabelled texts, the clearest first.
 
+    The counts are summed on the executors; at most ``most`` features reach the driver."""
+    counted = (
+        sets.where((F.col("y") == 1) | F.col("u"))
+        .select(F.explode("f").alias("f"), F.coalesce((F.col("y") == 1).cast("int"), F.lit(0)).alias("p"), F.col("u").cast("int").alias("u"))
+        .groupBy("f")
+        .agg(F.sum("p").alias("a"), F.sum("u").alias("b"))
+    )
+    both = F.col("a") + F.col("b")
+    share = both / (n + m)
+    spread = F.sqrt(share * (1 - share) * (1 / n + 1 / m)) + 1e-12
+    found = (
+        counted.select(F.pmod(F.col("f").cast("long"), F.lit(1 << 32)).alias("f"), both.alias("c"), (F.abs(F.col("a") / n - F.col("b") / m) / spread).alias("v"))
+        .where((F.col("c") >= least) & (F.col("v") >= z))
+        .orderBy(F.desc("v"), "f")
+        .limit(most)
+    )
+    return np.array([r["f"] for r in found.collect()], np.int64)
+
+
+def _rows(sets: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By text of the sample which features of the vocabulary it has, its label (-1: none) and whether it counts as unlabelled.
 
-def _rows(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(sets), len(vocabulary)), np.float32)
+    A text reaches the driver as one bit for each feature of the vocabulary."""
     order = np.argsort(vocabulary)
-    ranked = vocabulary[order]
-    for i, s in enumerate(sets):
-        if len(ranked) and len(s):
-            at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
-            x[i, order[at[ranked[at] == s]]] = 1
-    return x
+    ranked, wide = vocabulary[order], len(vocabulary)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.zeros((batch.num_rows, wide), bool)
+            for i, f in enumerate(batch.column(0)):
+                s = f.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.int64)
+                if wide and len(s):
+                    at = np.minimum(np.searchsorted(ranked, s), wide - 1)
+                    x[i, order[at[ranked[at] == s]]] = True
+            packed = [row.tobytes() for row in np.packbits(x, axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), batch.column(2)], ["x", "y", "u"])
+
+    got = sets.mapInArrow(bits, "x binary, y int, u boolean").toArrow()
+    packed = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(got.num_rows, -(-wide // 8))
+    y = np.array([-1 if v is None else v for v in got.column("y").to_pylist()], np.int64)
+    return np.unpackbits(packed, axis=1, count=wide).astype(np.float32), y, np.array(got.column("u").to_pylist(), bool)
 
 
 def _scale(x_pos: np.ndarray, x_unl: np.ndarray, prior: float) -> np.ndarray:
@@ -158,7 +179,8 @@ def fit(
     0 (these serve the calibration and the prior only) and ``max_unlabelled`` rows of any kind, each
     chosen by a hash of the key at a rate that the counts over all rows give.  ``prior`` is by
     default the share of 1 among the labelled rows.  A key with several labels is toxic if any of
-    them is; null labels and null keys are no labels.  Without a positive or without another text
+    them is; null labels and null keys are no labels.  The features of the sample stay in the shared
+    folder; the driver gets ``max_features`` of them and a bit for each in each text.  Without a positive or without another text
     the model scores everything as the prior (0 without labels).
     """
     session(docs.sparkSession)
@@ -188,24 +210,22 @@ def fit(
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple[int, int]] = {}
         for batch in batches:
-            sets = [np.array(sorted(features(x, memo)), np.uint32).tobytes() for x in texts_of(batch.column(0), 0, batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), batch.column(1), batch.column(2)], ["f", "y", "u"])
+            sets = [np.array(sorted(features(x, memo)), np.uint32).view(np.int32) for x in texts_of(batch.column(0), 0, batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["f", "y", "u"])
 
-    got = sample.mapInArrow(extract, "f binary, y int, u boolean").toArrow()
-    sets = [np.frombuffer(x, np.uint32).astype(np.int64) for x in got.column("f").to_pylist()]
-    y = np.array([-1 if v is None else v for v in got.column("y").to_pylist()], np.int64)
-    free = np.array(got.column("u").to_pylist(), bool)
-    pos, unl = [sets[i] for i in np.flatnonzero(y == 1)], [sets[i] for i in np.flatnonzero(free)]
-    if not pos or not unl or not 0 < prior < 1:
+    sets = cut(sample.mapInArrow(extract, "f array<int>, y int, u boolean"), "toxicity-sample")
+    sizes = sets.agg(F.count_if(F.col("y") == 1).alias("n"), F.count_if("u").alias("m")).first()
+    if not sizes["n"] or not sizes["m"] or not 0 < prior < 1:
         flat = min(max(prior, 1e-6), 1 - 1e-6)
         return Model({}, 0.0, 0.0, float(np.log(flat / (1 - flat))))
-    vocabulary = _screen(pos, unl, least=5, z=5.0, most=max_features)
-    x_pos, x_unl = _rows(pos, vocabulary), _rows(unl, vocabulary)
+    vocabulary = _screen(sets, sizes["n"], sizes["m"], least=5, z=5.0, most=max_features)
+    x, y, free = _rows(sets, vocabulary)
+    x_pos, x_unl = x[y == 1], x[free]
     scale = _scale(x_pos, x_unl, prior)
     w, b = nnpu(x_pos * scale, x_unl * scale, prior)
     w = w * scale
     known = np.flatnonzero(y >= 0)
-    margin = _rows([sets[i] for i in known], vocabulary) @ w + b
+    margin = x[known] @ w + b
     # rows labelled 0 and 1 may have been drawn at different rates: weigh by repeating the offset
     slope, offset = platt(margin, y[known].astype(float))
     drawn = (y[known] == 1).mean()
