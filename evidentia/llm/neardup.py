@@ -3,8 +3,9 @@
 Equal shingle sets are classes; everything below works on one representative of a class.  Each
 representative has a MinHash signature.  A tree of the forest is one order of the signature's
 positions: representatives sorted by it stand next to those with which they share a long prefix.
-The regions of a tree are its prefixes of ``depth`` positions; a region with more than ``crowd``
-members is refined by further positions, so its depth adapts to how dense it is.  Within each node of
+The regions of a tree are its prefixes of some positions, as few as the threshold needs to meet all
+but a ``miss`` share of the pairs at it; a region with more than ``crowd`` members is refined by
+further positions, so its depth adapts to how dense it is.  Within each node of
 the tree every member is compared with the first one (the neighbour that starts their common
 prefix) on the full shingle sets.
 
@@ -17,6 +18,7 @@ same task, which only links leave.  Nothing is capped: a large region only has m
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -82,6 +84,32 @@ def _orders(positions: int, trees: int, depth: int) -> np.ndarray:
     return np.stack([rng.permutation(positions)[:depth] for _ in range(trees)])
 
 
+def miss_rate(level: float, positions: int, trees: int, depth: int) -> float:
+    """The chance that a pair of Jaccard ``level`` shares no prefix of ``depth`` in any tree.
+
+    The trees draw from the same positions, so they are independent only for a given number of
+    agreeing positions; the chance is averaged over that number, which is binomial.
+    """
+    total = 0.0
+    for k in range(positions + 1):
+        share = math.comb(positions, k) * level**k * (1 - level) ** (positions - k)
+        total += share * (1 - math.comb(k, depth) / math.comb(positions, depth)) ** trees
+    return total
+
+
+def forest(level: float, positions: int, trees: int, depth: int, miss: float) -> tuple[int, int]:
+    """Trees and the depth of their regions: the largest depth up to ``depth`` that misses at most ``miss``.
+
+    Where even one position is too many for the trees given, there are more trees; a level so low that
+    no position need agree (below about 0.1) is met as well as ``16 * positions`` trees can.
+    """
+    while depth > 1 and miss_rate(level, positions, trees, depth) > miss:
+        depth -= 1
+    while trees < 16 * positions and miss_rate(level, positions, trees, depth) > miss:
+        trees *= 2
+    return trees, depth
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """``node, root``: the smallest node reachable, for nodes with an edge; ``edges`` has a > b.
 
@@ -325,6 +353,7 @@ def near_duplicates(
     crowd: int = 64,
     block: int = 512,
     mass: int = 4_000_000,
+    miss: float = 1e-5,
 ) -> DataFrame:
     """Return ``key, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -336,9 +365,10 @@ def near_duplicates(
     different texts are one document, linked wherever one of the texts is.  Other columns are not read; an empty table gives
     an empty result.
 
-    A pair at a threshold of 0.85 shares a given prefix of 8 positions with a probability of 0.27 and
-    is met in one of 40 trees with 0.999997; what is nearer is met more surely.  The exact step drops a
-    pair only if its signatures agree 5.5 standard deviations less than those of a link would.
+    ``depth`` is the most that a region takes: ``forest`` lowers it until a pair at the threshold is
+    missed by all trees with a chance of ``miss`` at most (6 positions and 5.7e-6 for 85 percent, 4 and
+    4.6e-7 for 80, with 40 trees); what is nearer is met more surely.  The exact step drops a pair only
+    if its signatures agree 5.5 standard deviations less than those of a link would.
     """
     session(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -350,7 +380,9 @@ def near_duplicates(
         .select("digest", F.col("m.doc").alias("rep"), F.col("m.n").alias("n"), F.col("m.sig").alias("sig")),
         "near-classes",
     )
-    orders = _orders(positions, trees, depth + deeper)
+    level = percent / 100
+    trees, depth = forest(level, positions, trees, depth, miss)
+    orders = _orders(positions, trees, min(depth + deeper, positions))
     alike = 100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")
 
     def nodes(reps: DataFrame, at: int) -> DataFrame:
@@ -361,7 +393,7 @@ def near_duplicates(
 
     regions = cut(nodes(classes, depth), "near-regions")
     crowded = regions.where(F.col("count") > crowd).select("rep").distinct()
-    dense = cut(nodes(classes.join(crowded, "rep", "left_semi"), depth + deeper), "near-dense")
+    dense = cut(nodes(classes.join(crowded, "rep", "left_semi"), orders.shape[1]), "near-dense")
     star = cut(
         regions.unionByName(dense)
         .where((F.col("rep") != F.col("first.rep")) & alike)
@@ -380,7 +412,6 @@ def near_duplicates(
     )
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("mass")).where("lo < hi").select("key", "mass")
     members = placed.join(split, "key").join(classes.select("rep", "sig"), "rep")
-    level = percent / 100
     least = positions * (level - 5.5 * (level * (1 - level) / positions) ** 0.5)
     prefixes = orders[:, :depth]
     suspects = cut(_suspects(members, prefixes, percent, least, block, mass), "near-suspects")

@@ -212,6 +212,17 @@ def test_near_duplicates_against_all_pairs(spark):
         assert got == brute_components(rows, 85)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of a Jaccard of 0.80: 80 words in common and 10 of each text's own."""
+    pairs = 2000
+    rows = [(2 * i + k, " ".join([f"c{i}w{j}" for j in range(80)] + [f"d{i}k{k}w{j}" for j in range(10)])) for i in range(pairs) for k in (0, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert neardup.near_duplicates(d, size=1).where("kept").count() == pairs
+    for percent in (50, 80, 85, 95):
+        trees, depth = neardup.forest(percent / 100, 128, 40, 8, 1e-5)
+        assert neardup.miss_rate(percent / 100, 128, trees, depth) <= 1e-5
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 100)], "a long, b long")
     got = {r["node"]: r["root"] for r in neardup.components(edges, "chain").collect()}
