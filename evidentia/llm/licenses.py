@@ -2,15 +2,16 @@
 
 Templates are winnowed: of every window of adjacent word k-grams the one with the least hash is
 indexed, so any run of ``k + window - 1`` words of a template holds an indexed gram.  All grams of
-a document are looked up; hits of one template on nearby diagonals are one candidate.  A banded
-alignment of the candidate's words with the template then gives the matched words and the span.
+a document are looked up.  Around every hit each band of diagonals in which enough template words
+occur is aligned; of these alignments those that do not overlap and match most words are reported.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -77,6 +78,7 @@ class Index:
     words: dict[str, list[str]] = field(default_factory=dict)
     grams: dict[tuple[str, ...], list[tuple[str, int]]] = field(default_factory=lambda: defaultdict(list))
     vocabulary: set[str] = field(default_factory=set)
+    places: dict[str, dict[str, list[int]]] = field(default_factory=dict)
 
 
 def build_index(templates: dict[str, str], k: int, window: int) -> Index:
@@ -87,6 +89,9 @@ def build_index(templates: dict[str, str], k: int, window: int) -> Index:
         if not words:
             continue
         index.words[name] = words
+        index.places[name] = defaultdict(list)
+        for i, w in enumerate(words):
+            index.places[name][w].append(i)
         n = min(k, len(words))
         grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
         value = [zlib.crc32(" ".join(g).encode()) for g in grams]
@@ -97,26 +102,84 @@ def build_index(templates: dict[str, str], k: int, window: int) -> Index:
     return index
 
 
-def align(doc: list[str], template: list[str], shift: int, band: int) -> tuple[int, int, int]:
-    """Most template words in order in the document, within ``band`` of a diagonal: words matched, first and last document word.
+def enough(length: int, least: float) -> int:
+    """The fewest matched words, one at least, with which a template reaches the coverage."""
+    return next((n for n in range(1, length + 1) if n / length >= least), length + 1)
 
-    ``shift`` is the document place of template word 0.  Only equal words count; words left out or put in
-    cost nothing inside the band.
+
+def align(hits: dict[int, list[int]], reach: int) -> dict[int, tuple[int, int]]:
+    """By document place of the last matched word: the most template words in order, then the latest first place.
+
+    ``hits`` has the document places of each template place within the band.  Words left out or put in
+    cost nothing; two matched words that follow each other are at most ``reach`` places apart.
     """
-    best: dict[int, tuple[int, int, int]] = {}  # by document place of the last match: count, -start, place
-    top = (0, 0, 0)
-    for i, w in enumerate(template):
+    best: dict[int, tuple[int, int]] = {}
+    for at in sorted(hits):
         found = []
-        for j in range(max(0, i + shift - band), min(len(doc), i + shift + band + 1)):
-            if doc[j] == w:
-                before = max((best[p] for p in range(j - 2 * band - 1, j) if p in best), default=None)
-                here = (before[0] + 1, before[1], -j) if before else (1, -j, -j)
-                found.append((j, here))
+        for j in hits[at]:
+            count, start = max((best[p] for p in range(j - reach, j) if p in best), default=(0, j))
+            found.append((j, (count + 1, start)))
         for j, here in found:
-            if j not in best or here > best[j]:
+            if here > best.get(j, (0, 0)):
                 best[j] = here
-                top = max(top, here)
-    return top[0], -top[1], -top[2]
+    return best
+
+
+def apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of alignments (first place, last place, words) those that do not overlap and match most words, on the shortest spans."""
+    order = sorted(found, key=lambda r: (r[1], -r[0], r[2]))
+    ends = [r[1] for r in order]
+    best, taken = [(0, 0)], []
+    for a, b, n in order:
+        before = bisect_left(ends, a)
+        with_it = (best[before][0] + n, best[before][1] - (b - a))
+        taken.append(before if with_it > best[-1] else None)
+        best.append(max(with_it, best[-1]))
+    out, k = [], len(order)
+    while k:
+        if taken[k - 1] is None:
+            k -= 1
+        else:
+            out.append(order[k - 1])
+            k = taken[k - 1]
+    return out
+
+
+def matches(names: list[str], length: int, places: dict[str, list[int]], shifts: list[int], band: int, least: float) -> list[tuple[int, int, int]]:
+    """First and last document word and matched words of one template in all bands that hold one of the diagonals ``shifts``."""
+    need = enough(length, least)
+    groups: list[list[int]] = []
+    for shift in sorted(set(shifts)):
+        if groups and shift - band <= groups[-1][1] + 1:
+            groups[-1][1] = shift + band
+        else:
+            groups.append([shift - band, shift + band])
+    found: set[tuple[int, int, int]] = set()
+    for low, high in groups:
+        on: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for j in range(max(0, low - band), min(len(names), high + band + length)):
+            for at in places.get(names[j], ()):
+                if low - band <= j - at <= high + band:
+                    on[j - at].append((at, j))
+        live = Counter(at for d, pairs in on.items() if d < low + band for at, _ in pairs)
+        changed = True
+        for shift in range(low, high + 1):
+            for at, _ in on.get(shift + band, ()):
+                live[at] += 1
+                changed = True
+            for at, _ in on.get(shift - band - 1, ()):
+                changed = True
+                live[at] -= 1
+                if not live[at]:
+                    del live[at]
+            if changed and len(live) >= need:
+                hits: dict[int, list[int]] = defaultdict(list)
+                for d in range(shift - band, shift + band + 1):
+                    for at, j in on.get(d, ()):
+                        hits[at].append(j)
+                found.update((a, b, n) for b, (n, a) in align(hits, 2 * band + 1 + length - need).items() if n >= need)
+            changed = False
+    return apart(found)
 
 
 def scan_text(text: str, index: Index, band: int, least: float) -> list[tuple[str, float, int, int, int]]:
@@ -132,17 +195,10 @@ def scan_text(text: str, index: Index, band: int, least: float) -> list[tuple[st
                     hits[name].append(i - at)
     out = []
     for name, shifts in hits.items():
-        template, last = index.words[name], None
-        for shift in sorted(set(shifts)):
-            if last is not None and shift - last <= band:
-                last = shift
-                continue
-            last = shift
-            matched, a, b = align(names, template, shift, band)
-            coverage = matched / len(template)
-            if coverage >= least:
-                out.append((name, coverage, matched, words[a][1], words[b][2]))
-    return sorted(set(out), key=lambda r: (r[3], r[0], r[4]))
+        length = len(index.words[name])
+        for a, b, n in matches(names, length, index.places[name], shifts, band, least):
+            out.append((name, n / length, n, words[a][1], words[b][2]))
+    return sorted(out, key=lambda r: (r[3], r[0], r[4]))
 
 
 def scan_documents(

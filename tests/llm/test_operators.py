@@ -250,6 +250,15 @@ def test_license_spans(spark):
     assert 0.95 < mit["coverage"] < 1 and text[mit["span_start"] : mit["span_end"]].startswith("Permission is hereby")
 
 
+def test_license_repeats(spark):
+    """Each of several notices near each other is reported, also after partial ones."""
+    apache = licenses.TEMPLATES["Apache-2.0-line"]
+    texts = ["Copyright 2020 A. All rights reserved. Copyright 2021 B. All rights reserved.", "All rights reserved.\n" * 50, "under the apache one two three four five six seven " * 3 + apache]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r["doc_id"], r["license"], texts[r["doc_id"]][r["span_start"] : r["span_end"]]) for r in licenses.scan_documents(d).collect()]
+    assert sorted(got) == [(0, "All-rights-reserved", "All rights reserved")] * 2 + [(1, "All-rights-reserved", "All rights reserved")] * 50 + [(2, "Apache-2.0-line", apache[:-1])]
+
+
 def test_warc_round_trip(spark):
     big = "z" * 300_000
     rows = [(3, "http://a", "x"), (1, "http://b", "x"), (2, "http://c", big), (7, None, None), (8, "u\r\nv", ""), (5, "d", big), (None, "e", "n"), (9, "f", "é")]
