@@ -1,15 +1,15 @@
-"""License scan: winnowed template fingerprints, an inverted index and banded alignment.
+"""License scan: an inverted index of template words and banded alignment.
 
-Templates are winnowed: of every window of adjacent word k-grams the one with the least hash is
-indexed, so any run of ``k + window - 1`` words of a template holds an indexed gram.  All grams of
-a document are looked up.  Around every hit each band of diagonals in which enough template words
+A match leaves out at most so many words of its template, so it holds one of any one word more than
+that: the rarest ones are indexed, and no match can be without an indexed word.  All words of a
+document are looked up.  Around every hit each band of diagonals in which enough template words
 occur is aligned; of these alignments those that do not overlap and match most words are reported.
+Templates are not winnowed: words put in cost nothing, so a match need not hold any run of words.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -72,18 +72,21 @@ def words_of(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Index:
-    """Words of each template, and template places by word gram."""
+    """Words of each template, its places by word, and indexed template places by word."""
 
-    k: int
     words: dict[str, list[str]] = field(default_factory=dict)
-    grams: dict[tuple[str, ...], list[tuple[str, int]]] = field(default_factory=lambda: defaultdict(list))
-    vocabulary: set[str] = field(default_factory=set)
     places: dict[str, dict[str, list[int]]] = field(default_factory=dict)
+    rare: dict[str, list[tuple[str, int]]] = field(default_factory=lambda: defaultdict(list))
 
 
-def build_index(templates: dict[str, str], k: int, window: int) -> Index:
-    """A template with fewer than ``k`` words is one gram of its own length; one without words is left out."""
-    index = Index(k)
+def enough(length: int, least: float) -> int:
+    """The fewest matched words, one at least, with which a template reaches the coverage."""
+    return next((n for n in range(1, length + 1) if n / length >= least), length + 1)
+
+
+def build_index(templates: dict[str, str], least: float) -> Index:
+    """Of each template so many places, its rarest words first, that a match of ``least`` coverage holds one; a template without words is left out."""
+    index = Index()
     for name, text in sorted(templates.items()):
         words = [w for w, _, _ in words_of(text)]
         if not words:
@@ -92,21 +95,14 @@ def build_index(templates: dict[str, str], k: int, window: int) -> Index:
         index.places[name] = defaultdict(list)
         for i, w in enumerate(words):
             index.places[name][w].append(i)
-        n = min(k, len(words))
-        grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
-        value = [zlib.crc32(" ".join(g).encode()) for g in grams]
-        chosen = {min(range(i, min(i + window, len(grams))), key=lambda j: (value[j], -j)) for i in range(max(1, len(grams) - window + 1))}
-        for i in sorted(chosen):
-            index.grams[grams[i]].append((name, i))
-            index.vocabulary.add(grams[i][0])
+    common = Counter(w for words in index.words.values() for w in words)
+    for name, words in index.words.items():
+        rarest = sorted(range(len(words)), key=lambda i: (common[words[i]], -len(words[i]), i))
+        for i in rarest[: len(words) - enough(len(words), least) + 1]:
+            index.rare[words[i]].append((name, i))
     return index
 
 
-def enough(length: int, least: float) -> int:
-    """The fewest matched words, one at least, with which a template reaches the coverage."""
-    return next((n for n in range(1, length + 1) if n / length >= least), length + 1)
-
-
 def align(hits: dict[int, list[int]], reach: int) -> dict[int, tuple[int, int]]:
     """By document place of the last matched word: the most template words in order, then the latest first place.
 
@@ -187,12 +183,9 @@ def scan_text(text: str, index: Index, band: int, least: float) -> list[tuple[st
     words = words_of(text)
     names = [w for w, _, _ in words]
     hits: dict[str, list[int]] = defaultdict(list)
-    lengths = sorted({len(g) for g in index.grams})
     for i, w in enumerate(names):
-        if w in index.vocabulary:
-            for n in lengths:
-                for name, at in index.grams.get(tuple(names[i : i + n]), ()):
-                    hits[name].append(i - at)
+        for name, at in index.rare.get(w, ()):
+            hits[name].append(i - at)
     out = []
     for name, shifts in hits.items():
         length = len(index.words[name])
@@ -206,8 +199,6 @@ def scan_documents(
     key: str = "doc_id",
     text: str = "text",
     templates: dict[str, str] | None = None,
-    k: int = 3,
-    window: int = 4,
     band: int = 8,
     least: float = 0.8,
     index_bytes: int = 16 << 20,
@@ -234,7 +225,7 @@ def scan_documents(
     rows = docs.select(F.col(key), F.col(text))
     found = None
     for block in blocks:
-        shared = spark.sparkContext.broadcast(build_index(block, k, window))
+        shared = spark.sparkContext.broadcast(build_index(block, least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

@@ -259,6 +259,34 @@ def test_license_repeats(spark):
     assert sorted(got) == [(0, "All-rights-reserved", "All rights reserved")] * 2 + [(1, "All-rights-reserved", "All rights reserved")] * 50 + [(2, "Apache-2.0-line", apache[:-1])]
 
 
+def test_license_finds_what_aligning_everywhere_finds():
+    index = licenses.build_index(licenses.TEMPLATES, 0.8)
+    for text, name, coverage in [
+        ("Released under the terms of the MIT License.", "MIT-line", 1.0),
+        ("Licensed under the terms of the Apache License, Version 2.0.", "Apache-2.0-line", 1.0),
+        ("Released under an MIT License.", "MIT-line", 0.8),
+    ]:
+        assert (name, coverage) in [r[:2] for r in licenses.scan_text(text, index, 8, 0.8)]
+    rng = random.Random(10)
+    total = 0
+    for _ in range(12):
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            for w in index.words[rng.choice(sorted(index.words))]:
+                text += [w] * (rng.random() > 0.1) + ["the"] * (rng.random() < 0.1) + ["other"] * (rng.random() < 0.1)
+        want = set()
+        for name, words in index.words.items():
+            found = set()
+            for shift in range(-len(words) - 8, len(text) + 9):
+                near = {i: [j for j in range(max(0, i + shift - 8), min(len(text), i + shift + 9)) if text[j] == w] for i, w in enumerate(words)}
+                found |= {(a, b, n) for b, (n, a) in licenses.align(near, 64).items() if n / len(words) >= 0.8}
+            want |= {(name, n, *(sum(len(w) + 1 for w in text[:k]) for k in (a, b))) for a, b, n in licenses.apart(found)}
+        got = licenses.scan_text(" ".join(text), index, 8, 0.8)
+        assert {(name, n, a, " ".join(text).rfind(" ", 0, b) + 1) for name, _, n, a, b in got} == want
+        total += len(want)
+    assert total > 12
+
+
 def test_warc_round_trip(spark):
     big = "z" * 300_000
     rows = [(3, "http://a", "x"), (1, "http://b", "x"), (2, "http://c", big), (7, None, None), (8, "u\r\nv", ""), (5, "d", big), (None, "e", "n"), (9, "f", "é")]
