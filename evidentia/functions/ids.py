@@ -7,8 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidentia.functions.errors import GraphError
+
 TENANT = re.compile(r"[a-z0-9][a-z0-9_-]*")
-ID = r"\Apg:([a-z0-9][a-z0-9_-]*):([A-Za-z_.]+):([0-9a-f]{32})\z"
+#: An id: tenant, kind (of an edge: ``edge.`` and its type) and digest.
+ID = r"pg:([a-z0-9][a-z0-9_-]*):([A-Za-z_.]+):([0-9a-f]{32})"
 
 #: Fields of each node kind's identity, sorted by name; integers are written bare.
 IDENTITY = {
@@ -30,16 +33,30 @@ COLUMN = {
 NUMERIC = {"index", "ordinal", "spanStart", "spanEnd"}
 
 
-class TenantError(ValueError):
-    """A tenant id that is not one."""
-
-
 def assert_tenant(tenant: str) -> str:
     if not TENANT.fullmatch(tenant):
-        raise TenantError(f"not a tenant id: {tenant!r}")
+        raise GraphError("GRAPH_SCHEMA_INVALID", f"not a tenant id: {tenant!r}")
     return tenant
 
 
+def parse_graph_id(text: str) -> tuple[str, str, str]:
+    """Tenant, kind and digest of an id."""
+    m = re.fullmatch(ID, text)
+    if not m:
+        raise GraphError("GRAPH_SCHEMA_INVALID", f"not a graph id: {text!r}")
+    return m.group(1), m.group(2), m.group(3)
+
+
+def id_parts(c: Column) -> Column:
+    """``tenant, kind, digest`` of an id as a struct; null for what is none."""
+    part = lambda i, name: F.regexp_extract(c, rf"\A{ID}\z", i).alias(name)
+    return F.when(c.rlike(rf"\A{ID}\z"), F.struct(part(1, "tenant"), part(2, "kind"), part(3, "digest")))
+
+
+def is_id_for_tenant(c: Column, tenant: Column) -> Column:
+    return F.coalesce(id_parts(c)["tenant"] == tenant, F.lit(False))
+
+
 def json_string(c: Column) -> Column:
     """A JSON string as compact writers make it: control characters in lower-case hexadecimal."""
     j = F.to_json(F.array(c))
@@ -55,7 +72,7 @@ def content_digest(c: Column) -> Column:
 
 def derive_id(tenant: Column, kind: str, fields: dict[str, Column]) -> Column:
     """``pg:tenant:kind:hex``; fields are taken in the order of their names."""
-    parts = [F.concat(F.lit(f'["{n}",'), v.cast("string") if n in NUMERIC else json_string(v), F.lit("]")) for n, v in sorted(fields.items())]
+    parts = [F.concat(F.lit(f'["{n}",'), v.cast("string") if n in NUMERIC else json_string(v), F.lit("]")) for n, v in sorted(fields.items(), key=lambda f: f[0])]
     body = F.concat(F.lit('[1,"'), tenant, F.lit(f'","{kind}",['), F.concat_ws(",", *parts), F.lit("]]"))
     return F.concat(F.lit("pg:"), tenant, F.lit(f":{kind}:"), F.substring(F.sha2(body, 256), 1, 32))
 
@@ -73,7 +90,6 @@ def expected_node_id() -> Column:
 
 
 def edge_id(tenant: Column, kind: Column, src: Column, dst: Column) -> Column:
-    body = F.concat(
-        F.lit('[1,"'), tenant, F.lit('","edge.'), kind, F.lit('",[["from",'), json_string(src), F.lit('],["to",'), json_string(dst), F.lit('],["type",'), json_string(kind), F.lit("]]]")
-    )
+    """The id of an edge from its type and its two ends."""
+    body = F.concat(F.lit('[1,"'), tenant, F.lit('","edge.'), kind, F.lit('",[["from",'), json_string(src), F.lit('],["to",'), json_string(dst), F.lit("]]]"))
     return F.concat(F.lit("pg:"), tenant, F.lit(":edge."), kind, F.lit(":"), F.substring(F.sha2(body, 256), 1, 32))

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 #: White space, the byte order mark and the no-break space included.
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 NOT_WS = "[^" + WS[1:]
+#: White space within a line.
+BLANK = WS.replace(r"\n", "").replace(r"\r", "").replace(r"\u2028\u2029", "")
+#: A character within a line, and the places where a line begins and ends.
+DOT = r"[^\n\r\u2028\u2029]"
+BOL, EOL = rf"(?<!{DOT})", rf"(?!{DOT})"
 #: Before and after a word of ASCII letters, digits and underscores.
 B0, B1 = r"(?<![A-Za-z0-9_])", r"(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
 
@@ -53,7 +58,7 @@ IDENTIFIER = "|".join(
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.regexp_replace(c, rf"\A{WS}++|(?<!{WS}){WS}++\z", "")
 
 
 def fold(c: Column) -> Column:
@@ -89,7 +94,8 @@ def contains_phrase(haystack: Column, needle: Column) -> Column:
 
 
 def strip_trailing(c: Column) -> Column:
-    return F.regexp_replace(c, "(?:[.!?,;:\"'\u2019\u201d)\\]]|" + WS + r")+\z", "")
+    tail = "[.!?,;:\"'\u2019\u201d)\\]" + WS[1:]
+    return F.regexp_replace(c, rf"(?<!{tail}){tail}++\z", "")
 
 
 def numbers(c: Column) -> Column:

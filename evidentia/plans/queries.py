@@ -1,9 +1,4 @@
-"""Queries of the engine over the driver's tables, and their SQL.
-
-The tables hold almost no errors, JSON or traces, so texts and declared provenance are varied by
-``doc_id`` alike in Spark and in SQL.  Runs are conversations: assistant turns are the candidate
-output and the other turns its context.
-"""
+"""Queries of the engine over the driver's tables; ``oracles`` has their SQL."""
 
 from __future__ import annotations
 
@@ -12,90 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions import ids
 from evidentia.functions import text as T
-from evidentia.functions.ids import content_digest, derive_id
-from evidentia.operators import admit, classify, claims, ground, ledger, outcome, validate
+from evidentia.operators import admit, claims, classify, ground, judge, ledger, outcome, traverse, validate
+from evidentia.operators.guard import Guard
+from evidentia.plans import scenarios, tables
+from evidentia.plans.oracles import ORACLE
 from evidentia.plans.synthetic import perf_graph
+from evidentia.plans.tables import table, varied
+from evidentia.sources import checks, graph_files
+from evidentia.staging import cut
 
-CHANNELS = ["USER_MESSAGE", "RETRIEVED_DOC", "TOOL_RESULT", "SYSTEM_ALERT", "DIAGNOSTIC_LOG", "AGENT_OUTPUT", "CACHE", "UNLABELED"]
-AT = "2026-01-01T00:00:00.000Z"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLE", "QUERIES", "slot_admission"]
 
+SIGNALS = [admit.resolve_slot("signals")]
 
-def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of ``documents`` with errors, JSON and traces put in by doc_id."""
-    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
-    n, k = i.cast("string"), i % 9
-    text = (
-        F.when(k == 0, F.lit(" \n"))
-        .when(k == 1, F.concat(F.lit("HTTP/1.1 503 Service Unavailable\nserver: edge\n"), F.col("text")))
-        .when(k == 2, F.concat(F.lit('{"id": '), n, F.lit(', "status": 200}')))
-        .when(k == 3, F.concat(F.lit('{"id": '), n, F.lit(', "items": [1, 2')))
-        .when(k == 4, F.concat(F.lit('{"id": '), n, F.lit(', "value": "fallback"}')))
-        .when(k == 5, F.concat(F.lit("Traceback (most recent call last):\n"), F.col("text")))
-        .when(k == 6, F.concat(F.lit("bash: run: command not found\n"), F.col("text")))
-        .otherwise(F.col("text"))
-    )
-    j = F.floor(i / 9)
-    return d.select(
-        i,
-        F.col("source").alias("hint_source_id"),
-        text.alias("text"),
-        F.element_at(F.array(*map(F.lit, CHANNELS)), (j % 8 + 1).cast("int")).alias("hint_channel"),
-        F.concat(F.lit("T"), (j % 5 + 1).cast("string")).alias("hint_tier"),
-        F.when(i % 7 == 0, 200).when(i % 7 == 1, 404).alias("hint_status"),
-    )
 
-
-VARIED = r"""
-v AS (
-  SELECT doc_id, source AS hint_source_id,
-    CASE doc_id % 9 WHEN 0 THEN ' ' || chr(10)
-      WHEN 1 THEN 'HTTP/1.1 503 Service Unavailable' || chr(10) || 'server: edge' || chr(10) || text
-      WHEN 2 THEN '{"id": ' || doc_id || ', "status": 200}'
-      WHEN 3 THEN '{"id": ' || doc_id || ', "items": [1, 2'
-      WHEN 4 THEN '{"id": ' || doc_id || ', "value": "fallback"}'
-      WHEN 5 THEN 'Traceback (most recent call last):' || chr(10) || text
-      WHEN 6 THEN 'bash: run: command not found' || chr(10) || text
-      ELSE text END AS text,
-    (['USER_MESSAGE','RETRIEVED_DOC','TOOL_RESULT','SYSTEM_ALERT','DIAGNOSTIC_LOG','AGENT_OUTPUT','CACHE','UNLABELED'])[(doc_id // 9) % 8 + 1] AS hint_channel,
-    (doc_id // 9) % 5 + 1 AS hint_rank,
-    CASE doc_id % 7 WHEN 0 THEN 200 WHEN 1 THEN 404 END AS hint_status
-  FROM documents
-), g AS (
-  SELECT *,
-    CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 'empty'
-      WHEN coalesce(hint_status, CASE WHEN doc_id % 9 = 1 THEN 503 END) NOT BETWEEN 200 AND 299 THEN 'non_ok_status'
-      WHEN doc_id % 9 = 1 THEN 'http_error'
-      WHEN doc_id % 9 = 3 THEN 'truncated_json'
-      WHEN json_valid(text) AND regexp_matches(text, '(?i)\b(fallback|placeholder|stale)\b') THEN 'degraded_result'
-      WHEN regexp_matches(text, 'Traceback \(most recent call last\):') THEN 'stack_trace'
-      WHEN regexp_matches(text, '(?im)^(zsh|bash|sh|fish|pwsh):\s+.+') THEN 'shell_diagnostic'
-      WHEN hint_status = 200 THEN 'recognized_ok_status' ELSE 'unrecognized' END AS signature,
-    coalesce(hint_status, CASE WHEN doc_id % 9 = 1 THEN 503 END) AS status
-  FROM v
-), h AS (
-  SELECT *,
-    CASE WHEN signature IN ('non_ok_status','http_error') THEN 'SYSTEM_ALERT' WHEN signature IN ('stack_trace','shell_diagnostic','degraded_result') THEN 'DIAGNOSTIC_LOG'
-      WHEN signature IN ('empty','truncated_json') THEN 'UNLABELED' ELSE hint_channel END AS channel,
-    CASE WHEN signature NOT IN ('recognized_ok_status','unrecognized') THEN 5 ELSE greatest(hint_rank,
-      CASE hint_channel WHEN 'USER_MESSAGE' THEN 1 WHEN 'TOOL_RESULT' THEN 2 WHEN 'RETRIEVED_DOC' THEN 3 WHEN 'CACHE' THEN 4 WHEN 'AGENT_OUTPUT' THEN 4 ELSE 5 END,
-      CASE WHEN signature = 'unrecognized' THEN 1 ELSE CASE hint_channel WHEN 'TOOL_RESULT' THEN 2 WHEN 'RETRIEVED_DOC' THEN 3 WHEN 'CACHE' THEN 4 ELSE 5 END END) END AS rank
-  FROM g
-)
-"""
+# -- what a chunk is, and where it may go
 
 
 def chunk_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = classify.classify(varied(spark, sf_dir))
-    return c.select("doc_id", "chunk_id", "source_id", "content_hash", "retrieved_at")
+    return tables.classified(spark, sf_dir).select("doc_id", "part", "chunk_id", "source_id", "content_hash", "retrieved_at")
 
 
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
+    t = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.sha2(T.normalize(t), 256).alias("normalized_sha256"),
@@ -105,138 +41,289 @@ def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat(F.lit("See `code_"), F.col("doc_id").cast("string"), F.lit('` and "two words" at www.shop.com, x.py or NASA. '), F.coalesce("text", F.lit("")))
+    found = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumn("e", T.entities(F.col("t")))
+    return found.select(
+        "doc_id", F.sha2(F.array_join("e", "|"), 256).alias("entities_sha256"), F.size("e").cast("long").alias("n_entities"), (T.strip_trailing(F.col("t")) == F.col("t")).alias("bare"),
+        T.contains_phrase(T.normalize(F.col("t")), F.lit("of the")).alias("has_phrase"), T.is_identifier(F.substring("t", 1, 3)).alias("acronym"),
+    )
+
+
+def error_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.coalesce(F.col("_json.error_found"), F.lit(False))
+    return classify.prepare(varied(spark, sf_dir)).select(
+        "doc_id", "part", F.col("_lead").alias("lead"), F.col("_bare").alias("bare"), F.col("_page").alias("page"), F.col("_head").alias("head"), found.alias("found"),
+        F.col("_error").alias("error"), F.col("_status").alias("detected"),
+    )
+
+
+def json_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = classify.prepare(varied(spark, sf_dir)).where(F.col("_json.parses").isNotNull())
+    return facts.select("doc_id", "part", "_json.parses", "_json.error_found", "_json.error_status", "_json.degraded", "_json.unclosed", F.col("_truncated").alias("truncated"))
+
+
 def signature_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.classify(varied(spark, sf_dir)).select("doc_id", "signature", F.col("status").cast("long").alias("status"), "channel", "tier")
+    return tables.classified(spark, sf_dir).select("doc_id", "part", "signature", F.col("status").cast("long").alias("status"), "channel", "tier")
+
+
+def _checked(spark: SparkSession, sf_dir: str, policy: admit.Policy | None = None) -> DataFrame:
+    return admit.check_slot(tables.classified(spark, sf_dir), admit.policy_slots(spark, policy))
 
 
 def slot_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = admit.check_slot(classify.classify(varied(spark, sf_dir)), admit.policy_slots(spark))
-    return checked.select("doc_id", "slot", "decision", F.array_join("reasons.code", "|").alias("reason_codes"))
+    return _checked(spark, sf_dir).select("doc_id", "part", "slot", "decision", F.array_join("reasons.code", "|").alias("reason_codes"))
+
+
+def slot_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir, SIGNALS).select("doc_id", "part", F.array_join("reasons.message", " ").alias("messages"))
 
 
 def admission_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why chunks were refused, by slot."""
-    checked = admit.check_slot(classify.classify(varied(spark, sf_dir)), admit.policy_slots(spark))
     code = F.explode_outer("reasons.code").alias("reason_code")
-    return checked.select("slot", "decision", code).groupBy("slot", "decision", "reason_code").agg(F.count(F.lit(1)).alias("n"))
+    return _checked(spark, sf_dir).select("slot", "decision", code).groupBy("slot", "decision", "reason_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def assembled_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each slot of a run of fifty documents holds."""
+    checked = _checked(spark, sf_dir).withColumns({"run_id": F.floor(F.col("doc_id") / 50), "ordinal": F.struct("doc_id", "part")})
+    held = admit.assemble_context(checked, admit.policy_slots(spark))
+    return held.select("run_id", "slot", F.size("admitted").cast("long").alias("n_admitted"), F.sha2(F.array_join("admitted", ","), 256).alias("admitted_sha256"))
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, sf_dir, "conversations").withColumn("run_id", F.col("conv_id").cast("string"))
-    say = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
-    outputs = c.where("role = 'assistant'").groupBy("run_id").agg(say.alias("output"))
-    channel = F.when(F.col("role") == "system", "SYSTEM_ALERT").otherwise("USER_MESSAGE")
-    chunks = c.where("role <> 'assistant'").select("run_id", F.col("turn").cast("int").alias("ordinal"), "text", channel.alias("hint_channel"), F.lit("T1").alias("hint_tier"))
-    return outputs, chunks.withColumns({"hint_status": F.lit(None).cast("int"), "hint_source_id": F.concat(F.lit("conversation:"), "run_id")})
+def check_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check documents made of ``documents``, three of eight of them usable."""
+    e, k, i = tables.escaped(F.coalesce("text", F.lit(""))), F.col("doc_id") % 8, F.col("doc_id").cast("string")
+    chunks = F.concat(F.lit(', "chunks": [{"id": "c", "raw": "'), e, F.lit('", "provenance": {"channel": "TOOL_RESULT", "upstreamStatus": 200}}, "plain"]'))
+    said, policy = F.concat(F.lit(', "output": "'), e, F.lit('"')), F.lit(', "slot": "own", "policy": {"slots": [{"name": "own", "allowedChannels": ["CACHE"], "minTier": "T5"}]}')
+    tail = (
+        F.when(k == 1, F.concat(chunks, said, F.lit(","))).when(k == 2, said).when(k == 3, chunks).when(k == 4, F.concat(F.lit(', "chunks": [{"id": "c"}]'), said))
+        .when(k == 5, F.concat(chunks, said, F.lit(', "slot": "nowhere"'))).when(k == 6, F.concat(chunks, F.replace(said, F.lit('"output"'), F.lit('"candidateOutput"')), F.lit(', "slot": "evidence"')))
+        .when(k == 7, F.concat(chunks, said, policy)).otherwise(F.concat(chunks, said))
+    )
+    documents = table(spark, sf_dir, "documents").select(i.alias("file"), F.concat(F.lit('{"run_id": "'), i, F.lit('"'), tail, F.lit("}")).alias("value"))
+    made, outputs, rejected = checks.parse_checks(documents)
+    texts = made.groupBy("run_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "|"), 256).alias("chunks_sha256"))
+    good = outputs.join(texts, "run_id").select("run_id", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("error"), "slot", "min_tier", F.sha2("output", 256).alias("output_sha256"), "chunks_sha256")
+    return good.unionByName(rejected, allowMissingColumns=True).withColumn("doc_id", F.col("run_id").cast("long")).drop("run_id")
 
 
-def _audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    outputs, raw = _runs(spark, sf_dir)
-    checked = admit.check_slot(classify.classify(raw), admit.policy_slots(spark, [r for r in admit.DEFAULT_POLICY if r[0] == "signals"]))
-    found = claims.extract_claims(outputs)
-    return outputs, checked, ground.assess_claims(found, checked.where("decision = 'allow'"))
+# -- what an output claims, and what that rests on
 
 
 def claims_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims.extract_claims(_runs(spark, sf_dir)[0])
+    return claims.extract_claims(tables.runs(spark, sf_dir)[0])
+
+
+def _said(assessed: DataFrame, *more: str) -> DataFrame:
+    return assessed.select("run_id", "claim_id", "status", "decided_by", "score", F.array_join("supporting_chunk_ids", "|").alias("supporting"), "reason", *more)
 
 
 def ground_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audited(spark, sf_dir)[2].select("run_id", "claim_id", "status", "method", "decided_by", "score", "supporting_chunk_ids", "reason")
+    return _said(tables.audited(spark, sf_dir)[2], "method", "detail")
+
+
+def ground_ungated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims against all chunks as they are declared, without the inbound gate."""
+    outputs, raw = tables.runs(spark, sf_dir)
+    declared = classify.classify(raw).withColumn("tier", F.col("hint_tier"))
+    return _said(ground.audit_outputs(outputs, declared)[0])
 
 
 def audit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outputs, _, assessed = _audited(spark, sf_dir)
-    return ground.run_verdicts(outputs, assessed).select("run_id", "decision", "reasons")
+    outputs, _, assessed = tables.audited(spark, sf_dir)
+    return ground.run_verdicts(outputs, assessed).select("run_id", "decision", F.array_join("reasons", "|").alias("reasons"))
 
 
-def lineage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The ledger of all conversations."""
-    outputs, checked, assessed = _audited(spark, sf_dir)
-    runs = ground.run_verdicts(outputs, assessed).select(
-        F.lit("local").alias("tenant_id"), F.col("run_id").alias("run_key"), F.lit(AT).alias("started_at"), F.lit(AT).alias("observed_at"), F.lit("default").alias("policy_name"),
-        F.lit("1").alias("policy_version"), content_digest(F.lit("slot-policy:signals")).alias("policy_hash"), F.lit("enforce").alias("mode"), "output",
-        (F.col("decision") == "allow").alias("delivered"),
-    )
-    chunks = checked.select(
-        F.col("run_id").alias("run_key"), "ordinal", "chunk_id", "text", "content_hash", F.col("source_id").alias("source_uri"), "channel", "tier", "retrieved_at", "status", "slot",
-        (F.col("decision") == "allow").alias("admitted"), "decision", F.col("reasons.code").alias("reasons"),
-    )
-    made = assessed.select(
-        F.col("run_id").alias("run_key"), "text", "span_start", "span_end", "status", "method", F.array_compact(F.array("reason")).alias("reason_codes"), "supporting_chunk_ids",
-        F.lit(True).alias("material"),
-    )
-    return ledger.build_graph(runs, chunks, made)
+def pipeline_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both gates over the conversations."""
+    outputs, checked, assessed = tables.audited(spark, sf_dir)
+    return outcome.run_outcomes(checked, ground.run_verdicts(outputs, assessed))
+
+
+def judge_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge that lowers every third claim that it is asked about, and does not answer about the next."""
+    assessed = tables.audited(spark, sf_dir)[2]
+    k = F.col("claim_seq") % 3
+    said = F.when(k == 0, "ungrounded").when(k == 2, "grounded")
+    advice = assessed.select("run_id", "claim_id", said.alias("judge_status"), F.array().cast("array<string>").alias("judge_ids"), F.lit(0.0).alias("judge_score"), F.when(k == 1, "timeout").alias("judge_error"))
+    return judge.escalate(assessed, advice).select("run_id", "claim_id", "status", "decided_by", "score", "reason", "advisory.applied", "advisory.error")
+
+
+def judge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, checked, assessed = tables.audited(spark, sf_dir)
+    return judge.fixture_keys(assessed.where("status = 'unverifiable'"), checked.where("decision = 'allow'"))
+
+
+def guard_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a guard delivers in either mode, with what its first span reports."""
+    outputs, raw = tables.runs(spark, sf_dir)
+    made = []
+    for mode in ("enforce", "monitor"):
+        run = Guard(mode).run(raw, outputs)
+        n = lambda name: F.col("attributes")[name].cast("long")
+        span = run.spans.where("span = 'guard.inbound'").select("run_id", n("chunks.candidates").alias("candidates"), n("chunks.admitted").alias("admitted"), n("chunks.would_refuse").alias("would_refuse"))
+        made.append(run.delivery.join(span, "run_id").select("mode", "run_id", "decision", "delivered", "candidates", "admitted", "would_refuse"))
+    return made[0].unionByName(made[1])
+
+
+# -- the ledger
+
+
+def run_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs, raw = tables.runs(spark, sf_dir)
+    checked = admit.check_slot(classify.classify(raw), admit.policy_slots(spark, SIGNALS))
+    none = ground.assess_claims(claims.extract_claims(outputs), checked).limit(0)
+    runs, _, _ = ledger.run_audit(outputs, checked, none, outputs.select("run_id", F.lit(False).alias("would_block")))
+    return runs.select("run_id", "run_key", ids.derive_id(F.col("tenant_id"), "Run", {"runKey": F.col("run_key")}).alias("run"))
 
 
 def ledger_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.redact(lineage(spark, sf_dir)[0]).drop("reason_codes")
+    return ledger.redact(tables.lineage(spark, sf_dir)[0]).drop("reason_codes")
 
 
 def ledger_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage(spark, sf_dir)[1]
+    return tables.lineage(spark, sf_dir)[1]
 
 
 def ledger_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities of runs, sources and chunks with each document a run of one chunk."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("local").alias("t"), content_digest(F.col("text")).alias("h"), "source")
-    run = derive_id(F.col("t"), "Run", {"runKey": F.col("doc_id").cast("string")})
-    d = d.withColumn("run_id", run)
+    d = tables.document_ids(spark, sf_dir).withColumn("run_id", ids.derive_id(F.col("t"), "Run", {"runKey": F.col("doc_id").cast("string")}))
     return d.select(
         "doc_id",
         "run_id",
-        derive_id(F.col("t"), "Source", {"uri": F.col("source"), "sourceKind": F.lit("retrieval")}).alias("source_id"),
-        derive_id(F.col("t"), "Chunk", {"runId": F.col("run_id"), "contentHash": F.col("h"), "ordinal": F.lit(0)}).alias("chunk_id"),
+        ids.derive_id(F.col("t"), "Source", {"uri": F.col("source"), "sourceKind": F.lit("retrieval")}).alias("source_id"),
+        ids.derive_id(F.col("t"), "Chunk", {"runId": F.col("run_id"), "contentHash": F.col("h"), "ordinal": F.lit(0)}).alias("chunk_id"),
     )
 
 
+def id_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids taken apart, and what is none."""
+    i, k = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    digest = F.sha2(i, 256)
+    short = lambda head, n: F.concat(F.lit(head), F.substring(digest, 1, n))
+    id_ = (
+        F.when(k == 0, ids.derive_id(F.lit("local"), "Run", {"runKey": i})).when(k == 1, F.concat(F.lit("run-"), i)).when(k == 2, short("pg:acme:Run:", 31)).when(k == 3, short("pg:ACME:Run:", 32))
+        .when(k == 4, short("pg:acme:edge.PRODUCED:", 32)).otherwise("")
+    )
+    d = table(spark, sf_dir, "documents").select("doc_id", id_.alias("id"))
+    return d.select("doc_id", ids.id_parts(F.col("id")).alias("p"), ids.is_id_for_tenant(F.col("id"), F.lit("acme")).alias("of_acme")).select("doc_id", "p.*", "of_acme")
+
+
+def source_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs without the credentials that two of three are given."""
+    p = table(spark, sf_dir, "pages").where(F.col("url").rlike(r"\Ahttps?://[A-Za-z0-9.-]+(?:/|[?#]|\z)"))
+    shown = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.regexp_replace("url", "://", "://user:secret@"))
+    return p.select("page_id", ledger.strip_credentials(shown).alias("uri"))
+
+
+def redacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and chunks of a graph as they are exported."""
+    nodes, _ = tables.braid(spark, tables.count_of(spark, sf_dir))
+    shown = ledger.redact(nodes.where("kind IN ('Source', 'Chunk')"))
+    return shown.select(graph_files.element_json(ledger.NODE_SCHEMA).alias("element"))
+
+
 def validate_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of the conversations' ledger: none."""
-    return validate.validate(*(x.checkpoint() for x in lineage(spark, sf_dir)))
+    return validate.validate(*(cut(x, "validated", keep=True) for x in tables.lineage(spark, sf_dir))).drop("message")
+
+
+def validate_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of graphs that are wrong in every way, counted; graphs that are nearly wrong add nothing."""
+    nodes, edges = tables.damaged(spark, tables.count_of(spark, sf_dir))
+    return validate.validate(cut(nodes, "validated", keep=True), cut(edges, "validated", keep=True)).groupBy("code", "element_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- traversals
 
 
-def _perf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+def _perf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A synthetic graph with a strand for each supplier."""
-    n = table(spark, sf_dir, "supplier").count()
-    nodes, edges = perf_graph(spark, n, 3)
-    return nodes, edges, n
+    return tuple(cut(x, "perf", keep=True) for x in perf_graph(spark, tables.count_of(spark, sf_dir), 3))
 
 
 def perf_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, _ = _perf(spark, sf_dir)
+    nodes, edges = perf_graph(spark, tables.count_of(spark, sf_dir), 3)
     count = lambda df, kind: df.groupBy(F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     return count(nodes, "kind").unionByName(count(edges, "type"))
 
 
 def impact_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What rests on each source, by kind and distance."""
-    nodes, edges, _ = _perf(spark, sf_dir)
-    nodes, edges = nodes.checkpoint(), edges.checkpoint()
+    nodes, edges = _perf(spark, sf_dir)
     origins = nodes.where("kind = 'Source'").select("tenant_id", F.col("id").alias("origin"))
-    return ledger.impact(nodes, edges, origins).groupBy("kind", "distance").agg(F.count(F.lit(1)).alias("n"))
+    return traverse.impact(nodes, edges, origins).groupBy("kind", "distance").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _braid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(cut(x, "braid", keep=True) for x in tables.braid(spark, tables.count_of(spark, sf_dir)))
+
+
+def _of(nodes: DataFrame, where: str, name: str) -> DataFrame:
+    return nodes.where(where).select("tenant_id", F.col("id").alias(name))
+
+
+def impact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _braid(spark, sf_dir)
+    found = traverse.impact(nodes, edges, _of(nodes, "kind IN ('Source', 'Chunk')", "origin"), require=True)
+    return traverse.impact_groups(found, nodes).drop("tenant_id")
+
+
+def impact_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is three steps away at most."""
+    nodes, edges = _braid(spark, sf_dir)
+    return traverse.impact(nodes, edges, _of(nodes, "kind IN ('Source', 'Chunk')", "origin"), max_depth=3).where("id IS NOT NULL").select("origin", "id", "distance", "truncated")
 
 
 def trace_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backward paths of every claim, by length and kind of their end."""
-    nodes, edges, _ = _perf(spark, sf_dir)
-    nodes, edges = nodes.checkpoint(), edges.checkpoint()
-    targets = nodes.where("kind = 'Claim'").select("tenant_id", F.col("id").alias("target"))
-    paths = ledger.trace(nodes, edges, targets).withColumn("id", F.element_at("path_nodes", -1))
+    nodes, edges = _perf(spark, sf_dir)
+    paths = traverse.trace(nodes, edges, _of(nodes, "kind = 'Claim'", "target")).withColumn("id", F.element_at("path_nodes", -1))
     return paths.join(nodes.select("id", "kind"), "id").groupBy(F.size("path_nodes").cast("long").alias("length"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pipeline_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both gates over the conversations."""
-    outputs, checked, assessed = _audited(spark, sf_dir)
-    return outcome.run_outcomes(checked, ground.run_verdicts(outputs, assessed))
+_ENDS = "kind = 'Claim' OR id LIKE 'a%.3'"
+
+
+def trace_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three paths of claims, some of which have four, and of artifacts."""
+    nodes, edges = _braid(spark, sf_dir)
+    p = traverse.trace(nodes, edges, _of(nodes, _ENDS, "target"), max_paths=3, require=True)
+    return p.select("target", F.array_join("path_nodes", ">").alias("nodes"), F.array_join("path_edges", ">").alias("edges"), "truncated", "path_rank")
+
+
+def trace_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of four nodes at most."""
+    nodes, edges = _braid(spark, sf_dir)
+    p = traverse.trace(nodes, edges, _of(nodes, _ENDS, "target"), max_depth=4)
+    return p.select("target", F.array_join("path_nodes", ">").alias("nodes"), "truncated")
+
+
+def trace_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _braid(spark, sf_dir)
+    return traverse.trace_sources(traverse.trace(nodes, edges, _of(nodes, "kind IN ('Claim', 'Output')", "target"), max_paths=1000), nodes).drop("tenant_id")
+
+
+def explain_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _braid(spark, sf_dir)
+    e = traverse.explain(nodes, edges, _of(nodes, "kind = 'Claim'", "target"))
+    return e.select(
+        "target", "verdict", "decision", "monitored", "policy_name", F.size("decision_paths").cast("long").alias("n_shortest"), F.size(F.get("decision_paths", F.lit(0))).cast("long").alias("length"),
+        F.array_join(F.array_sort("sources"), "|").alias("sources"),
+    )
+
+
+# -- what becomes of runs, and rates over labelled ones
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document a run of one chunk in the slot signals, without claims, labelled by doc_id."""
-    policy = admit.policy_slots(spark, [r for r in admit.DEFAULT_POLICY if r[0] == "signals"])
-    checked = admit.check_slot(classify.classify(varied(spark, sf_dir)), policy).withColumns({"run_id": F.col("doc_id"), "ordinal": F.lit(0)})
+    """Each chunk a run of its own in the slot signals, without claims, labelled by doc_id."""
+    checked = _checked(spark, sf_dir, SIGNALS).withColumns({"run_id": F.struct("doc_id", "part"), "ordinal": F.lit(0)})
+    checked = cut(checked.select("run_id", "ordinal", "decision", "reasons"), "signals", keep=True)
     none = checked.select("run_id", F.lit("allow").alias("decision"), F.array().cast("array<string>").alias("reasons"))
-    i = F.col("run_id")
+    i = F.col("run_id.doc_id")
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
     labels = {
         "difficulty": pick(outcome.DIFFICULTIES[:2], i % 2), "provenance": pick(outcome.PROVENANCES, F.floor(i / 2) % 2), "should_block": i % 9 < 7,
@@ -246,7 +333,7 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monitor_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir).select(F.col("run_id").alias("doc_id"), "would_block", "stage", "reason_code", "outcome")
+    return _signals(spark, sf_dir).select("run_id.doc_id", "run_id.part", "would_block", "stage", "reason_code", "outcome")
 
 
 def recall_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,96 +351,38 @@ def gate_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shape_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = classify.prepare(varied(spark, sf_dir))
-    return d.select("doc_id", outcome.shape_flag(F.col("text"), F.col("_trim"), F.col("_json.parses")).alias("flagged"))
+    return d.select("doc_id", "part", outcome.shape_flag(d).alias("flagged"))
+
+
+def bench_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed corpus with guards and without."""
+    return scenarios.bench(spark).select("run_id", "actual", "passed", "stage", "reason_code", "control", "guard_effect")
+
+
+def bench_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcome.bench_summary(scenarios.bench(spark))
+
+
+def bench_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = scenarios.bench(spark)
+    fp = outcome.false_positive_rates(results).select(F.lit("false_positive").alias("kind"), "difficulty", F.lit("").alias("provenance"), "numerator", "denominator", "label")
+    return outcome.recall_rates(results).select(F.lit("recall").alias("kind"), "difficulty", "provenance", "numerator", "denominator", "label").unionByName(fp)
+
+
+def control_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs, raw = tables.runs(spark, sf_dir)
+    e = outcome.control_evidence(classify.classify(raw), outputs)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return e.select("run_id", "control", F.col("chunk_count").cast("long").alias("chunk_count"), joined("chunk_ids"), joined("content_hashes"), joined("labels"), "output_hash")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chunk_identity, text_forms, signature_classify, slot_admission, admission_counts, claims_extract, ground_assess, audit_verdict, ledger_nodes, ledger_edges,
-        ledger_chunk_ids, validate_ledger, perf_fixture, impact_kinds, trace_lengths, pipeline_outcome, monitor_outcome,
-        recall_rates, false_positive_rates, gate_breakdown, shape_baseline,
+        chunk_identity, text_forms, text_entities, error_evidence, json_facts, signature_classify, slot_admission, slot_reasons, admission_counts, assembled_context, check_inputs,
+        claims_extract, ground_assess, ground_ungated, audit_verdict, pipeline_outcome, judge_escalation, judge_keys, guard_delivery, run_keys, ledger_nodes, ledger_edges,
+        ledger_chunk_ids, id_parts, source_uris, redacted_lines, validate_ledger, validate_damaged, perf_fixture, impact_kinds, impact_groups, impact_limits, trace_lengths,
+        trace_paths, trace_limits, trace_sources, explain_claims, monitor_outcome, recall_rates, false_positive_rates, gate_breakdown, shape_baseline, bench_results,
+        bench_summary, bench_rates, control_evidence,
     )
 }
-
-_STOP = ",".join(f"'{w}'" for w in T.STOPWORDS)
-_SLOTS = """
-s AS (SELECT * FROM (VALUES ('signals', ['USER_MESSAGE','RETRIEVED_DOC','TOOL_RESULT','AGENT_OUTPUT']), ('evidence', ['RETRIEVED_DOC','TOOL_RESULT']),
-  ('working_memory', ['USER_MESSAGE','RETRIEVED_DOC','TOOL_RESULT','AGENT_OUTPUT'])) t(slot, allowed)),
-a AS (
-  SELECT doc_id, slot, list_filter([
-    CASE WHEN signature = 'empty' THEN 'PAYLOAD_EMPTY' END,
-    CASE WHEN doc_id % 9 = 3 THEN 'PAYLOAD_TRUNCATED' END,
-    CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'UPSTREAM_STATUS_NOT_OK' END,
-    CASE WHEN signature NOT IN ('recognized_ok_status','unrecognized') AND status = 200 THEN 'PROVENANCE_LABEL_MISMATCH' END,
-    CASE WHEN signature = 'degraded_result' THEN 'RESULT_DEGRADED' END,
-    CASE WHEN NOT list_contains(allowed, channel) THEN 'CHANNEL_NOT_PERMITTED' END,
-    CASE WHEN rank > 3 THEN 'TIER_BELOW_MINIMUM' END], lambda x: x IS NOT NULL) AS r
-  FROM h, s
-)
-"""
-_ID = """'pg:local:{kind}:' || substr(sha256('[1,"local","{kind}",[' || {fields} || ']]'), 1, 32)"""
-
-_RUNS = """
-o AS (
-  SELECT doc_id, len(r) > 0 AS would_block, CASE WHEN len(r) > 0 THEN 'inbound' ELSE 'none' END AS stage, r[1] AS reason_code, doc_id % 9 < 7 AS should_block,
-    (['basic','hard'])[doc_id % 2 + 1] AS difficulty, (['derived','constructed'])[doc_id // 2 % 2 + 1] AS provenance,
-    CASE WHEN doc_id % 9 < 7 THEN 'inbound' ELSE 'either' END AS expected
-  FROM a WHERE slot = 'signals'
-)
-"""
-_GRID = "(VALUES ('basic'), ('hard'), ('mixed')) x(difficulty)"
-
-ORACLE: dict[str, str] = {
-    "chunk_identity": f"""
-WITH {VARIED}, i AS (SELECT *, sha256(text) AS d FROM h)
-SELECT doc_id, 'chunk:' || substr(sha256(hint_source_id || chr(10) || 'sha256:' || d || chr(10) || text), 1, 16) AS chunk_id,
-       hint_source_id AS source_id, 'sha256:' || d AS content_hash, '1970-01-01T00:00:00.000Z' AS retrieved_at FROM i""",
-    "text_forms": f"""
-WITH n AS (
-  SELECT doc_id, trim(regexp_replace(lower(replace(text, chr(8230), '...')), '[^a-z0-9]+', ' ', 'g')) AS n, doc_id || ',000 v1.2.3 ' || text AS t FROM documents
-), k AS (SELECT *, list_filter(string_split(n, ' '), lambda x: x <> '') AS tokens FROM n)
-SELECT doc_id, sha256(n) AS normalized_sha256, len(tokens) AS n_tokens,
-       len(list_filter(tokens, lambda x: length(x) > 2 AND x NOT IN ({_STOP}))) AS n_content_tokens,
-       list_aggregate(list_distinct_ordered, 'string_agg', '|') AS numbers
-FROM (
-  SELECT *, list_filter(every, lambda x, i: list_position(every, x) = i) AS list_distinct_ordered FROM (
-    SELECT *, list_concat(regexp_extract_all(t, '\\b\\d+(?:\\.\\d+){{2,}}\\b'), list_transform(regexp_extract_all(t, '\\b\\d[\\d,]*(?:\\.\\d+)?\\b'), lambda x: replace(x, ',', ''))) AS every FROM k))""",
-    "signature_classify": f"WITH {VARIED} SELECT doc_id, signature, CAST(status AS BIGINT) AS status, channel, 'T' || rank AS tier FROM h",
-    "slot_admission": f"""WITH {VARIED}, {_SLOTS}
-SELECT doc_id, slot, CASE WHEN len(r) = 0 THEN 'allow' ELSE 'block' END AS decision, coalesce(list_aggregate(r, 'string_agg', '|'), '') AS reason_codes FROM a""",
-    "admission_counts": f"""WITH {VARIED}, {_SLOTS}
-SELECT slot, CASE WHEN reason_code IS NULL THEN 'allow' ELSE 'block' END AS decision, reason_code, count(*) AS n
-FROM (SELECT slot, unnest(CASE WHEN len(r) = 0 THEN [NULL] ELSE r END) AS reason_code FROM a) GROUP BY ALL""",
-    "ledger_chunk_ids": f"""
-WITH d AS (SELECT doc_id, source, 'sha256:' || sha256(text) AS h,
-  {_ID.format(kind="Run", fields="'[\"runKey\",\"' || doc_id || '\"]'")} AS run_id FROM documents)
-SELECT doc_id, run_id,
-  {_ID.format(kind="Source", fields="'[\"sourceKind\",\"retrieval\"],[\"uri\",' || to_json(source) || ']'")} AS source_id,
-  {_ID.format(kind="Chunk", fields="'[\"contentHash\",\"' || h || '\"],[\"ordinal\",0],[\"runId\",\"' || run_id || '\"]'")} AS chunk_id
-FROM d""",
-    "validate_ledger": "SELECT '' AS code, '' AS element_type, '' AS element_id WHERE false",
-    "perf_fixture": """
-WITH n AS (SELECT count(*) AS n FROM supplier)
-SELECT k AS kind, CASE WHEN f = 0 THEN n * m ELSE f + n * m END AS n FROM n, (VALUES
-  ('Run', 1, 0), ('Policy', 1, 0), ('Step', 1, 0), ('Output', 1, 0), ('Source', 0, 1), ('Artifact', 0, 3), ('Chunk', 0, 1), ('Claim', 0, 1), ('Verdict', 0, 1),
-  ('PRODUCED', 2, 1), ('DERIVED_FROM', 0, 2), ('SPLIT_INTO', 0, 1), ('INCLUDED_IN', 0, 1), ('EXTRACTED_FROM', 0, 1), ('SUPPORTED_BY', 0, 1), ('EVALUATED_BY', 0, 1),
-  ('DECIDES', 0, 1)) t(k, f, m)""",
-    "impact_kinds": """
-WITH n AS (SELECT count(*) AS n FROM supplier)
-SELECT k AS kind, CAST(d AS INTEGER) AS distance, n FROM n, (VALUES ('Artifact', 1), ('Artifact', 2), ('Artifact', 3), ('Chunk', 4), ('Claim', 5), ('Output', 6)) t(k, d)""",
-    "trace_lengths": """
-WITH n AS (SELECT count(*) AS n FROM supplier) SELECT CAST(l AS BIGINT) AS length, k AS kind, n FROM n, (VALUES (6, 'Source')) t(l, k)""",
-    "monitor_outcome": f"WITH {VARIED}, {_SLOTS}, {_RUNS} SELECT doc_id, would_block, stage, reason_code, 'allow' AS outcome FROM o",
-    "recall_rates": f"""WITH {VARIED}, {_SLOTS}, {_RUNS}
-SELECT x.difficulty, y.provenance, count(*) FILTER (o.would_block) AS numerator, count(o.doc_id) AS denominator
-FROM {_GRID} CROSS JOIN (VALUES ('derived'), ('constructed')) y(provenance)
-LEFT JOIN o ON o.difficulty = x.difficulty AND o.provenance = y.provenance AND should_block GROUP BY ALL""",
-    "false_positive_rates": f"""WITH {VARIED}, {_SLOTS}, {_RUNS}
-SELECT x.difficulty, count(*) FILTER (o.would_block) AS numerator, count(o.doc_id) AS denominator
-FROM {_GRID} LEFT JOIN o ON o.difficulty = x.difficulty AND NOT should_block GROUP BY ALL""",
-    "gate_breakdown": f"""WITH {VARIED}, {_SLOTS}, {_RUNS}
-SELECT expected, stage AS actual, count(*) AS n, CAST(grouping(expected, stage) AS BIGINT) AS level FROM o GROUP BY GROUPING SETS ((expected), (stage), (expected, stage))""",
-    "shape_baseline": f"""WITH {VARIED}
-SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' OR (regexp_matches(text, '^\\s*[{{\\[]') AND NOT json_valid(text)) AS flagged FROM v""",
-}

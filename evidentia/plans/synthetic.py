@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.ids import assert_tenant, content_digest, derive_id, edge_id
-from evidentia.operators.ledger import EDGE_COLUMNS, _nodes
+from evidentia.operators.ledger import EDGE_COLUMNS, node_rows
 
 AT = "2026-01-01T00:00:00.000Z"
 
@@ -32,20 +32,20 @@ def perf_graph(spark: SparkSession, strands: int, depth: int, tenant: str = "per
     s = s.withColumn("verdict", derive_id(t, "Verdict", {"runId": run, "targetRef": F.col("claim"), "policyRef": policy}))
     a = s.select("id", "body", "source", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("k")).withColumn("artifact", artifact(F.col("k")))
     nodes = [
-        _nodes(one, "Run", **own, id=run, run_key=F.lit("perf-run"), started_at=F.lit(AT)),
-        _nodes(one, "Policy", **own, id=policy, name=F.lit("perf"), version=F.lit("1"), content_hash=content_digest(F.lit("perf")), mode=F.lit("enforce")),
-        _nodes(one, "Step", **in_run, id=step, step_index=F.lit(0), name=F.lit("generate"), step_kind=F.lit("generate")),
-        _nodes(one, "Output", **in_run, id=output, content_hash=content_digest(text), text=text, delivered=F.lit(True)),
-        _nodes(s, "Source", **own, id=F.col("source"), uri=F.concat(F.lit("perf://"), F.col("id").cast("string")), source_kind=F.lit("retrieval")),
-        _nodes(a, "Artifact", **in_run, id=F.col("artifact"), content_hash=content_digest(F.concat(F.col("body"), F.lit(" artifact "), F.col("k").cast("string")))),
-        _nodes(
+        node_rows(one, "Run", **own, id=run, run_key=F.lit("perf-run"), started_at=F.lit(AT)),
+        node_rows(one, "Policy", **own, id=policy, name=F.lit("perf"), version=F.lit("1"), content_hash=content_digest(F.lit("perf")), mode=F.lit("enforce")),
+        node_rows(one, "Step", **in_run, id=step, step_index=F.lit(0), name=F.lit("generate"), step_kind=F.lit("generate")),
+        node_rows(one, "Output", **in_run, id=output, content_hash=content_digest(text), text=text, delivered=F.lit(True)),
+        node_rows(s, "Source", **own, id=F.col("source"), uri=F.concat(F.lit("perf://"), F.col("id").cast("string")), source_kind=F.lit("retrieval")),
+        node_rows(a, "Artifact", **in_run, id=F.col("artifact"), content_hash=content_digest(F.concat(F.col("body"), F.lit(" artifact "), F.col("k").cast("string")))),
+        node_rows(
             s, "Chunk", **in_run, id=F.col("chunk"), content_hash=content_digest(F.col("body")), ordinal=F.col("id"), text=F.col("body"), channel=F.lit("RETRIEVED_DOC"),
             tier=F.lit("T3"), retrieved_at=F.lit(AT), admitted=F.lit(True), slot=F.lit("evidence"),
         ),
-        _nodes(
+        node_rows(
             s, "Claim", **in_run, id=F.col("claim"), output_ref=output, text=F.col("body"), span_start=F.col("id") * 10, span_end=F.col("id") * 10 + 9, material=F.lit(True),
         ),
-        _nodes(
+        node_rows(
             s, "Verdict", **in_run, id=F.col("verdict"), target_ref=F.col("claim"), policy_ref=policy, decision=F.lit("allow"), reason_codes=F.array().cast("array<string>"),
             method=F.lit("deterministic"), monitored=F.lit(False), decided_at=F.lit(AT), input_hash=content_digest(F.col("body")),
         ),

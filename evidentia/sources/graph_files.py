@@ -1,7 +1,8 @@
 """The ledger as files: canonical JSON (one document) and JSON lines (a header, then an element a line).
 
 Elements are made and read by expressions, so lines are written and read in parallel.  A canonical
-document is one value by definition; it is for graphs that fit one row, JSON lines are for the rest.
+document is one file by definition: ``write_canonical`` streams it through one task, element by element,
+and ``canonical_json`` makes one value of it, for graphs that fit one row.
 """
 
 from __future__ import annotations
@@ -9,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions.errors import GraphError
 from evidentia.functions.ids import json_string
 from evidentia.operators.ledger import NODE_SCHEMA, redact
+from evidentia.operators.validate import bad_edge, bad_node
 
 EDGE_SCHEMA = "tenant_id string, id string, type string, schema_version int, from_id string, to_id string, observed_at string, note string"
 #: Element fields whose name is not the column's in camel case.
@@ -18,9 +21,12 @@ NAMES = {"step_index": "index", "from_id": "from", "to_id": "to"}
 VERSION = 1
 
 
-class GraphFormatError(ValueError):
+class GraphFormatError(GraphError):
     """A file that is not a graph of this schema version."""
 
+    def __init__(self, message: str, details: list[str] | None = None):
+        super().__init__("GRAPH_SCHEMA_INVALID", message, details)
+
 
 def _fields(schema: str) -> list[tuple[str, str, str]]:
     """Column, type and element field, by the name of the field."""
@@ -63,11 +69,33 @@ def write_jsonl(nodes: DataFrame, edges: DataFrame, path: str, redacted: bool =
 
 
 def canonical_json(nodes: DataFrame, edges: DataFrame, redacted: bool = True) -> DataFrame:
-    """One row, ``value``: the document with keys in order and nodes and edges by id."""
+    """One row, ``value``: version, redaction, then nodes and edges by id, each element with its fields by name."""
     own = lambda part: F.array_join(F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("id", "element"))))["element"], ",")
-    both = _lines(nodes, edges, redacted).agg(own(2).alias("e"), own(1).alias("n"))
-    tail = f'],"redacted":{str(redacted).lower()},"schemaVersion":{VERSION}}}'
-    return both.select(F.concat(F.lit('{"edges":['), "e", F.lit('],"nodes":['), "n", F.lit(tail)).alias("value"))
+    both = _lines(nodes, edges, redacted).agg(own(1).alias("n"), own(2).alias("e"))
+    return both.select(F.concat(F.lit(_head(redacted)), "n", F.lit('],"edges":['), "e", F.lit("]}")).alias("value"))
+
+
+def _head(redacted: bool) -> str:
+    return f'{{"schemaVersion":{VERSION},"redacted":{str(redacted).lower()},"nodes":['
+
+
+def write_canonical(nodes: DataFrame, edges: DataFrame, path: str, redacted: bool = True) -> None:
+    """The canonical document as one text file in the folder ``path``: one task sorts and writes it and holds an element at a time.
+
+    Every element and the document itself end in a brace, so that is what the writer puts after each row.
+    """
+    body = _lines(nodes, edges, redacted)
+    first = {r["part"]: r["id"] for r in body.groupBy("part").agg(F.min("id").alias("id")).collect()}  # two rows
+    begin = {1: _head(redacted), 2: '],"edges":['}
+    last = "".join(begin[p] for p in (1, 2) if p not in first) + "]"
+    if 1 not in first:
+        begin[2], last = begin[1] + begin[2], last if 2 not in first else "]"
+    lead = F.lit(",")
+    for part, id_ in first.items():
+        lead = F.when((F.col("part") == part) & (F.col("id") == id_), begin[part]).otherwise(lead)
+    rows = body.select("part", "id", F.concat(lead, F.substring("element", F.lit(1), F.length("element") - 1)).alias("value"))
+    tail = nodes.sparkSession.createDataFrame([(3, "", last)], "part int, id string, value string")
+    rows.unionByName(tail).repartition(1).sortWithinPartitions("part", "id").select("value").write.option("lineSep", "}").text(path)
 
 
 def _element(schema: str) -> str:
@@ -86,6 +114,14 @@ def _parsed(records: DataFrame, schema: str) -> DataFrame:
     return _table(records.select(x), schema)
 
 
+def _checked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tables, unless an element does not have the shape of its kind."""
+    bad = nodes.where(bad_node()).select("id").unionByName(edges.where(bad_edge()).select("id")).orderBy("id").limit(10).collect()
+    if bad:
+        raise GraphFormatError("elements do not have the shape of their kind", [str(r["id"]) for r in bad])
+    return nodes, edges
+
+
 def _version(found: list) -> None:
     if not found:
         raise GraphFormatError("the graph has no header")
@@ -102,7 +138,7 @@ def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if unknown:
         raise GraphFormatError(f"unknown record type: {unknown[0]!r}")
     _version(next((list(k["v"]) or ["none"] for k in kinds if k["type"] == "header"), []))
-    return _parsed(r.where("type = 'node'"), NODE_SCHEMA), _parsed(r.where("type = 'edge'"), EDGE_SCHEMA)
+    return _checked(_parsed(r.where("type = 'node'"), NODE_SCHEMA), _parsed(r.where("type = 'edge'"), EDGE_SCHEMA))
 
 
 def read_canonical(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -113,4 +149,4 @@ def read_canonical(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     _version(list(state["v"]))
     if state["bad"]:
         raise GraphFormatError("a graph needs nodes and edges")
-    return _parsed(d.select(F.explode("nodes").alias("element")), NODE_SCHEMA), _parsed(d.select(F.explode("edges").alias("element")), EDGE_SCHEMA)
+    return _checked(_parsed(d.select(F.explode("nodes").alias("element")), NODE_SCHEMA), _parsed(d.select(F.explode("edges").alias("element")), EDGE_SCHEMA))
