@@ -193,13 +193,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, key: str =
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(data.value, pattern)
+        own, last = codec(data.value, pattern), None
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 rows: list[tuple[int, str, str, bytes]] = []
                 for x in texts_of(batch.column(1), start, 64):
-                    ids = own.encode(x)
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest(), ids))
+                    if last is None or x != last[0]:  # copies that follow each other are encoded once
+                        ids = own.encode(x)
+                        last = (x, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest(), ids))
+                    rows.append(last[1])
                 columns = [batch.column(0).slice(start, 64), *(pa.array(c) for c in zip(*rows, strict=True))]
                 names = [key, "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
                 yield pa.RecordBatch.from_arrays(columns[: 4 + with_ids], names[: 4 + with_ids])

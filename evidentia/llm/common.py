@@ -1,21 +1,22 @@
 """Helpers that the operators of this package share.
 
-``spark.checkpoint.dir`` names the folder that every executor and the driver can reach.  ``cut``
-writes a table there as Parquet and reads it back, so that later jobs neither repeat the work
-before it nor depend on an executor that may be lost.  The folder is removed with the session.
+Intermediate tables are ``cut`` into the folder that the driver and the executors share, so that later jobs neither repeat
+the work before them nor depend on an executor that may be lost; a ``scope`` removes its tables when it ends.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch at most: whole texts may be long, so batches stay short.
-ARROW_ROWS = 256
+from evidentia.staging import cut, fresh_dir, scope, shared_dir
+
+__all__ = ["cut", "fresh_dir", "held_out", "lower_ascii", "scope", "session", "shared_dir", "texts_of", "unit_hash", "unused"]
+
+#: Rows and bytes of one Arrow batch at most: whole texts may be long, and rows of numbers are short.
+ARROW_ROWS = 2048
+ARROW_BYTES = 1 << 20
 
 #: White space that separates words, as a Java and as an RE2 character class.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,43 +25,15 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of this session; a smaller bound that is set already stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bound the Arrow batches of this session; smaller bounds that are set already stay."""
+    for key, most, usual in (("maxRecordsPerBatch", ARROW_ROWS, 10000), ("maxBytesPerBatch", ARROW_BYTES, 2**31 - 1)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, str(usual))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; only where none is set, a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext.getCheckpointDir()
-        if not own:
-            own = tempfile.mkdtemp(prefix="evidentia-")
-            spark.sparkContext.setCheckpointDir(own)
-        found = own
-    return found.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/evidentia/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(target)
-    fs.deleteOnExit(target)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read from there."""
-    path = fresh_dir(df.sparkSession, name) + "/t"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(c: Column) -> Column:
     """A-Z to lower case and nothing else."""
     return F.translate(c, _UPPER, _UPPER.lower())
@@ -79,3 +52,11 @@ def unit_hash(c: Column, salt: str) -> Column:
 def texts_of(column: pa.Array, start: int, size: int) -> list[str]:
     """A slice of a string column, null as the empty text."""
     return [x or "" for x in column.slice(start, size).to_pylist()]
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

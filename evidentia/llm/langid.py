@@ -3,6 +3,9 @@
 A text becomes a histogram of hashed letter 1-, 2- and 3-grams over its whole length.  One linear
 support vector machine for each pair of families votes for the family; within it one for each pair
 of languages votes for the language.  All are trained in numpy on the squared hinge loss.
+
+Votes always name one of the learnt languages.  Whether the text is in that language at all is told by the mean
+log-probability of its n-grams there, held against the texts that were learnt from.
 """
 
 from __future__ import annotations
@@ -117,6 +120,10 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     slope: np.ndarray
+    names: list[str]
+    logs: np.ndarray
+    usual: float
+    floor: float
 
     @staticmethod
     def _vote(p: np.ndarray, pairs: list[tuple[int, int, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,11 +140,12 @@ class Model:
         best = (votes + 0.5 * belief / max(n, 1)).argmax(1)
         return best, belief[np.arange(len(p)), best]
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score, and how typical of the language the text is: from 0, unlike anything learnt, to 1."""
         x, has = histograms(texts)
         p = 1 / (1 + np.exp(-np.clip(self.slope * (x @ self.weights.T + self.bias), -40, 40)))
         if not self.families:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         family, sure = self._vote(p, self.between, len(self.families))
         lang, score = np.empty(len(texts), object), np.zeros(len(texts))
         for i, name in enumerate(self.families):
@@ -146,23 +154,27 @@ class Model:
                 own = self.languages[name]
                 best, belief = self._vote(p[rows], self.within[name], len(own))
                 lang[rows], score[rows] = np.array(own, object)[best], sure[rows] * belief
-        lang[~has], score[~has] = "und", 0.0
-        return lang.tolist(), np.clip(score, 0, 1).tolist()
+        mean = ((x * x) @ self.logs.T)[np.arange(len(texts)), [self.names.index(v) for v in lang]]
+        typical = np.clip((mean - self.floor) / (self.usual - self.floor), 0, 1)
+        lang[~has], score[~has], typical[~has] = "und", 0.0, 0.0
+        return lang.tolist(), np.clip(score, 0, 1).tolist(), typical.astype(float).tolist()
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 4000) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = 4000, max_languages: int = 128) -> Model:
     """Train on rows outside the held-out fold whose language is not null and whose text has a letter.
 
     The sample has at most about ``max_rows`` rows, shared equally by the languages (a language with
     fewer rows gives all of them) and chosen by a hash of the key; the counts behind the rates are
     over all rows.  Only texts of the sample and their languages reach the driver, as histograms.
-    Without such rows the model answers ``und``.
+    Of a column with more than ``max_languages`` values the most frequent ones are learnt, since pairs grow with their
+    square.  A text is unlike a language if it is less typical than nearly all (99.9 %) of the sample by half the distance between
+    these and the median.  Without such rows the model answers ``und``.
     """
     session(docs.sparkSession)
     known = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(lang).cast("string").alias("_l")).where(
         F.col("_l").isNotNull() & F.col("_t").isNotNull() & ~held_out(F.col("_k"))
     )
-    counts = {r["_l"]: r["count"] for r in known.groupBy("_l").count().collect()}
+    counts = {r["_l"]: r["count"] for r in known.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(max_languages).collect()}
     each = max_rows / max(len(counts), 1)
     rates = docs.sparkSession.createDataFrame([(x, min(1.0, each / n)) for x, n in counts.items()], "_l string, _r double")
     sample = known.join(F.broadcast(rates), "_l").where(unit_hash(F.coalesce(F.col("_k").cast("string"), F.lit("")), "langid") < F.col("_r"))
@@ -201,13 +213,23 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     between = [(i, j, pair(group == families[i], group == families[j])) for i, j in itertools.combinations(range(len(families)), 2)]
     within = {f: [(i, j, pair(label == v[i], label == v[j])) for i, j in itertools.combinations(range(len(v)), 2)] for f, v in languages.items()}
     n = len(weights)
-    return Model(families, languages, between, within, np.array(weights, np.float32).reshape(n, DIMENSIONS), np.array(bias, np.float32), np.array(slope, np.float32))
+    logs = np.zeros((len(own), DIMENSIONS), np.float32)
+    mean = np.zeros(len(label))
+    for i, v in enumerate(own):
+        rows = np.flatnonzero(label == v)
+        part = x[rows]
+        part *= part
+        logs[i] = np.log(0.999 * part.mean(0) + 0.001 / DIMENSIONS)
+        mean[rows] = part @ logs[i]
+    usual, low = (float(np.median(mean)), float(np.quantile(mean, 0.001))) if len(mean) else (0.0, -1.0)
+    floor = low - max(0.5 * (usual - low), 0.5)
+    return Model(families, languages, between, within, np.array(weights, np.float32).reshape(n, DIMENSIONS), np.array(bias, np.float32), np.array(slope, np.float32), own, logs, usual, floor)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Return ``key, held_out, lang_pred, score`` for every row of ``docs``, from the whole text alone.
+    """Return ``key, held_out, lang_pred, score, typical`` for every row of ``docs``, from the whole text alone.
 
-    Null texts and texts without a letter give ``und`` and score 0.  Repeated rows give equal rows;
+    ``typical`` is 0 for a text unlike any that the language was learnt from.  Null texts and texts without a letter give ``und`` and score 0.  Repeated rows give equal rows;
     other columns are not read; empty tables give empty results.
     """
     spark = session(docs.sparkSession)
@@ -218,17 +240,21 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         own = shared.value
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
-                lang, score = own.predict(texts_of(batch.column(1), start, 64))
+                lang, score, typical = own.predict(texts_of(batch.column(1), start, 64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, 64), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [key, "lang_pred", "score"]
+                    [batch.column(0).slice(start, 64), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(typical, pa.float64())],
+                    [key, "lang_pred", "score", "typical"],
                 )
 
-    found = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
-    return found.select(F.col(key), held_out(F.col(key)).alias("held_out"), "lang_pred", "score")
+    found = docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, typical double")
+    return found.select(F.col(key), held_out(F.col(key)).alias("held_out"), "lang_pred", "score", "typical")
+
 
+def keep_known(docs: DataFrame, model: Model, least: float = 0.0, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is in a learnt language, with a score of ``least`` or more.
 
-def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language with a score of ``least`` or more."""
+    Texts without a letter and texts unlike anything learnt go.
+    """
     shared = session(docs.sparkSession).sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
@@ -237,8 +263,8 @@ def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text")
         for batch in batches:
             keep: list[bool] = []
             for start in range(0, batch.num_rows, 64):
-                lang, score = own.predict(texts_of(batch.column(at), start, 64))
-                keep += [x != "und" and y >= least for x, y in zip(lang, score, strict=True)]
+                found = own.predict(texts_of(batch.column(at), start, 64))
+                keep += [x != "und" and y >= least and z > 0 for x, y, z in zip(*found, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import WORD, cut
+from evidentia.llm.common import WORD, cut, scope, unused
 
 BITS = 12
 LEVELS = 5
@@ -58,57 +58,59 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: f
 def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), most: float = 3.0, name: str = "mix") -> tuple[DataFrame, DataFrame]:
     """The sizes of all documents (``_k, _s, _size, _x``) and, by source ``_s``, what decides on its documents:
     ``source_size, target, _whole`` (times that every document is taken) and ``_low`` (the hash under which one is taken once more)."""
-    sizes = cut(
-        docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), words(F.col(text)).alias("_size")).withColumn("_x", hash60(F.col("_k"))),
-        name + "-sizes",
-    )
-    plan = cut(
-        source_targets(sizes, weights, most)
-        .withColumn("_whole", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
-        .withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-        .withColumns({"_low": F.lit(0).cast("long"), "_under": F.lit(0).cast("long")}),
-        name + "-targets",
-    )
-    keep = ["_s", "source_size", "target", "_whole", "_rest"]
-    for level in range(LEVELS):
-        step = 1 << (BITS * (LEVELS - level - 1))
-        span = step << BITS
-        last = level == LEVELS - 1
-        inside = (F.col("_x") >= F.col("_low")) & (F.col("_x") < F.col("_low") + span)
-        bars = (
-            sizes.join(plan.select(F.col("_s").alias("_ps"), "_low"), F.col("_s").eqNullSafe(F.col("_ps")))
-            .where(inside)
-            .select(F.col("_s").alias("_bs"), F.floor((F.col("_x") - F.col("_low")) / step).cast("long").alias("_b"), "_size")
-            .groupBy("_bs", "_b")
-            .agg(F.sum("_size").alias("_v"))
+    with scope(docs.sparkSession):
+        sizes = cut(
+            docs.select(F.col(key).alias("_k"), F.col(source).alias("_s"), words(F.col(text)).alias("_size")).withColumn("_x", hash60(F.col("_k"))),
+            name + "-sizes",
+            keep=True,
         )
-        running = Window.partitionBy("_bs").orderBy("_b")
-        bars = bars.withColumn("_c", F.sum("_v").over(running)).join(
-            plan.select(F.col("_s").alias("_ps"), F.col("_rest").alias("_pr"), F.col("_under").alias("_pu")), F.col("_bs").eqNullSafe(F.col("_ps"))
+        plan = cut(
+            source_targets(sizes, weights, most)
+            .withColumn("_whole", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
+            .withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+            .withColumns({"_low": F.lit(0).cast("long"), "_under": F.lit(0).cast("long")}),
+            name + "-targets",
         )
-        full = F.col("_pu") + F.col("_c")
-        if last:  # a bucket is one hash value now: it is taken if that ends nearer to the budget
-            taken = (F.col("_v") > 0) & (F.abs(F.col("_pr") - full) <= F.abs(F.col("_pr") - (full - F.col("_v"))))
-            edge = F.max(F.when(taken, F.struct((F.col("_b") + 1).alias("b"), F.col("_c").alias("c"))))
-        else:  # the first bucket that goes beyond the budget is the one to refine
-            edge = F.min(F.when(full > F.col("_pr"), F.struct(F.col("_b").alias("b"), (F.col("_c") - F.col("_v")).alias("c"))))
-        edges = bars.groupBy("_bs").agg(edge.alias("_m"))
-        beyond = F.lit(0 if last else 1 << BITS)  # no bucket goes beyond the budget
-        plan = (
-            plan.join(edges, F.col("_s").eqNullSafe(F.col("_bs")), "left")
-            .select(
-                *keep,
-                (F.col("_low") + F.coalesce(F.col("_m.b"), beyond) * step).alias("_low"),
-                (F.col("_under") + F.coalesce("_m.c", F.lit(0))).alias("_under"),
+        keep = ["_s", "source_size", "target", "_whole", "_rest"]
+        for level in range(LEVELS):
+            step = 1 << (BITS * (LEVELS - level - 1))
+            span = step << BITS
+            last = level == LEVELS - 1
+            inside = (F.col("_x") >= F.col("_low")) & (F.col("_x") < F.col("_low") + span)
+            bars = (
+                sizes.join(plan.select(F.col("_s").alias("_ps"), "_low"), F.col("_s").eqNullSafe(F.col("_ps")))
+                .where(inside)
+                .select(F.col("_s").alias("_bs"), F.floor((F.col("_x") - F.col("_low")) / step).cast("long").alias("_b"), "_size")
+                .groupBy("_bs", "_b")
+                .agg(F.sum("_size").alias("_v"))
             )
-        )
-        plan = cut(plan, f"{name}-level{level}")
-    return sizes, plan
+            running = Window.partitionBy("_bs").orderBy("_b")
+            bars = bars.withColumn("_c", F.sum("_v").over(running)).join(
+                plan.select(F.col("_s").alias("_ps"), F.col("_rest").alias("_pr"), F.col("_under").alias("_pu")), F.col("_bs").eqNullSafe(F.col("_ps"))
+            )
+            full = F.col("_pu") + F.col("_c")
+            if last:  # a bucket is one hash value now: it is taken if that ends nearer to the budget
+                taken = (F.col("_v") > 0) & (F.abs(F.col("_pr") - full) <= F.abs(F.col("_pr") - (full - F.col("_v"))))
+                edge = F.max(F.when(taken, F.struct((F.col("_b") + 1).alias("b"), F.col("_c").alias("c"))))
+            else:  # the first bucket that goes beyond the budget is the one to refine
+                edge = F.min(F.when(full > F.col("_pr"), F.struct(F.col("_b").alias("b"), (F.col("_c") - F.col("_v")).alias("c"))))
+            edges = bars.groupBy("_bs").agg(edge.alias("_m"))
+            beyond = F.lit(0 if last else 1 << BITS)  # no bucket goes beyond the budget
+            plan = (
+                plan.join(edges, F.col("_s").eqNullSafe(F.col("_bs")), "left")
+                .select(
+                    *keep,
+                    (F.col("_low") + F.coalesce(F.col("_m.b"), beyond) * step).alias("_low"),
+                    (F.col("_under") + F.coalesce("_m.c", F.lit(0))).alias("_under"),
+                )
+            )
+            plan = cut(plan, f"{name}-level{level}", keep=last)
+        return sizes, plan
 
 
-def copies(x: Column) -> Column:
-    """How often a document with hash ``x`` is taken, beside the columns of its source's plan."""
-    return (F.col("_whole") + F.when(x < F.col("_low"), 1).otherwise(0)).cast("int")
+def copies(x: Column, whole: Column, low: Column, filled: Column) -> Column:
+    """How often a document with hash ``x`` is taken under its source's plan; once more than all only if it is ``filled``: has words."""
+    return (whole + F.when((x < low) & filled, 1).otherwise(0)).cast("int")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
@@ -121,27 +123,29 @@ def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     empty results.  The same rows always give the same mix.
     """
     sizes, own = plan(docs, key, **options)
+    times = copies(F.col("_x"), F.col("_whole"), F.col("_low"), F.col("_size") > 0)
     return sizes.join(own.withColumnRenamed("_s", "_ps"), F.col("_s").eqNullSafe(F.col("_ps"))).select(
         F.col("_k").alias(key),
         F.col("_size").alias("size"),
         "source_size",
         "target",
-        copies(F.col("_x")).alias("copies"),
-        (copies(F.col("_x")) * F.col("_size")).cast("long").alias("taken"),
+        times.alias("copies"),
+        (times * F.col("_size")).cast("long").alias("taken"),
     )
 
 
-def take(docs: DataFrame, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs``, with their columns, each as often as the mix takes it; the texts stay where they are."""
-    _, own = plan(docs, key, source=source, **options)
-    own = own.select(F.col("_s").alias("_mix_source"), "_whole", "_low")
-    return (
-        docs.join(own, F.col(source).eqNullSafe(F.col("_mix_source")))
-        .withColumn("_copies", copies(hash60(F.col(key))))
-        .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(docs.columns)
-    )
+def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, with their columns, each as often as the mix takes it; the texts stay where they are.
+
+    Columns of ``docs`` may have any names.  A text without words is taken as often as all of its source are, never once more.
+    """
+    _, own = plan(docs, key, text, source, **options)
+    s, whole, low, n = (unused(c, docs.columns) for c in ("_plan_source", "_plan_whole", "_plan_low", "_plan_copy"))
+    own = own.select(F.col("_s").alias(s), F.col("_whole").alias(whole), F.col("_low").alias(low))
+    filled = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    times = copies(hash60(F.col(key)), F.col(whole), F.col(low), filled)
+    joined = docs.join(own, F.col(source).eqNullSafe(F.col(s))).withColumn(n, times).where(F.col(n) > 0)
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
 
 
 #: The mix in DuckDB SQL: a plain sort and running sum instead of histograms.
@@ -178,8 +182,8 @@ WITH d AS (
   GROUP BY c.source
 )
 SELECT d.doc_id, d.size, q.source_size, q.target,
-       whole + CASE WHEN d.x <= k.edge THEN 1 ELSE 0 END AS copies,
-       (whole + CASE WHEN d.x <= k.edge THEN 1 ELSE 0 END) * d.size AS taken
+       whole + CASE WHEN d.x <= k.edge AND d.size > 0 THEN 1 ELSE 0 END AS copies,
+       (whole + CASE WHEN d.x <= k.edge AND d.size > 0 THEN 1 ELSE 0 END) * d.size AS taken
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source
 """

@@ -1,18 +1,20 @@
 """MinHash near-duplicates by an LSH forest.
 
 Equal shingle sets are classes; everything below works on one representative of a class.  Each
-representative has a MinHash signature.  A tree of the forest is one order of the signature's
-positions: representatives sorted by it stand next to those with which they share a long prefix.
-The regions of a tree are its prefixes of some positions, as few as the threshold needs to meet all
-but a ``miss`` share of the pairs at it; a region with more than ``crowd`` members is refined by
-further positions, so its depth adapts to how dense it is.  Within each node of
-the tree every member is compared with the first one (the neighbour that starts their common
-prefix) on the full shingle sets.
-
-That leaves pairs of a region that are in different components of the links found so far.  They
-are gone through exactly: members of such regions are dealt into blocks, pairs of blocks are
-compared by signature in numpy, and what might be a link is confirmed on the full sets in the
-same task, which only links leave.  Nothing is capped: a large region only has more blocks.
+representative has a MinHash signature.  A tree of the forest is one order of the signature's positions:
+all representatives are sorted by their signatures in that order, by range over all tasks, and in the
+sorted run every one is paired with the first of those with which it has the longest common prefix.
+So the depth at which two are compared follows how dense the run is there: where few are alike
+it is shallow, among many copies it is deep, and no run is cut at a fixed length.
+
+A region is a part of a run with a common prefix of a few positions, as few as the threshold needs so that
+all but a ``miss`` share of the pairs at it meet in one of the trees, which share no position up to there.
+Pairs are confirmed on the full shingle sets, and links make components.
+
+That leaves pairs of a region that are in different components.  They are gone through exactly: members
+that are not in the region's largest component are held against all others of the region, block by block,
+by signature in numpy, and what might be a link is confirmed on the full sets in the same task, which
+only links leave.  Nothing is capped: a large region only has more blocks.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, session, texts_of
+from evidentia.llm.common import cut, scope, session, texts_of
+from evidentia.operators.components import components
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _UPPER = {i: i + 32 for i in range(65, 91)}
 
 U = np.uint64
+#: Positions of the order of a tree by which representatives are sorted at most.
+REACH = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,72 +70,47 @@ def shingles(text: str, size: int, memo: dict[str, int]) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """MinHash values, 16 bits each, of a set that is not empty."""
-    low = np.full(len(a), np.iinfo(U).max, U)
-    for at in range(0, len(s), 1024):
-        part = s[at : at + 1024, None] * a + b
-        np.minimum(low, (part ^ (part >> U(29))).min(0), out=low)
-    return (low >> U(48)).astype(np.uint16)
+def signature(s: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """MinHash values, 16 bits each, of a set that is not empty: for each odd multiplier the least product, and of that a hash."""
+    x = (s >> U(32)).astype(np.uint32)
+    low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 256):  # a block of products stays in the cache
+        part = x[at : at + 256, None] * a
+        part ^= part >> np.uint32(15)
+        np.minimum(low, part.min(0), out=low)
+    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
-def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20)
-    return rng.integers(0, 2**63, n).astype(U) * U(2) + U(1), rng.integers(0, 2**63, n).astype(U)
+def _multipliers(n: int) -> np.ndarray:
+    return np.random.default_rng(20).integers(0, 2**31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def _orders(positions: int, trees: int, depth: int) -> np.ndarray:
-    rng = np.random.default_rng(21)
-    return np.stack([rng.permutation(positions)[:depth] for _ in range(trees)])
-
+def forest(level: float, positions: int, miss: float) -> tuple[int, int, int]:
+    """Trees, depth of their regions, and positions: the deepest regions of which enough trees fit side by side into the positions.
 
-def miss_rate(level: float, positions: int, trees: int, depth: int) -> float:
-    """The chance that a pair of Jaccard ``level`` shares no prefix of ``depth`` in any tree.
-
-    The trees draw from the same positions, so they are independent only for a given number of
-    agreeing positions; the chance is averaged over that number, which is binomial.
+    A pair of Jaccard ``level`` agrees in a region of d positions with a chance of level ** d, in each tree
+    independently, since regions share no position.  Where even regions of one position need more trees than there are
+    positions, there are more positions.
     """
-    total = 0.0
-    for k in range(positions + 1):
-        share = math.comb(positions, k) * level**k * (1 - level) ** (positions - k)
-        total += share * (1 - math.comb(k, depth) / math.comb(positions, depth)) ** trees
-    return total
 
+    def need(d: int) -> int:
+        return 1 if level >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-(level**d))))
 
-def forest(level: float, positions: int, trees: int, depth: int, miss: float) -> tuple[int, int]:
-    """Trees and the depth of their regions: the largest depth up to ``depth`` that misses at most ``miss``.
+    depth = max((d for d in range(1, REACH + 1) if d * need(d) <= positions), default=1)
+    return need(depth), depth, max(positions, depth * need(depth))
 
-    Where even one position is too many for the trees given, there are more trees; a level so low that
-    no position need agree (below about 0.1) is met as well as ``16 * positions`` trees can.
-    """
-    while depth > 1 and miss_rate(level, positions, trees, depth) > miss:
-        depth -= 1
-    while trees < 16 * positions and miss_rate(level, positions, trees, depth) > miss:
-        trees *= 2
-    return trees, depth
 
+def miss_rate(level: float, trees: int, depth: int) -> float:
+    """The chance that a pair of Jaccard ``level`` shares no region."""
+    return (1 - level**depth) ** trees
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """``node, root``: the smallest node reachable, for nodes with an edge; ``edges`` has a > b.
 
-    Large stars and small stars in turn: each node's neighbours are hung on the smallest one.  A
-    round joins nothing larger than the edges and shuffles them by node with minima pre-aggregated;
-    the rounds grow with the logarithm of the longest chain.
-    """
-    work = cut(edges.select(F.col("a"), F.col("b")).distinct(), f"{name}-e0")
-    before = None
-    for i in range(0 if work.isEmpty() else 200):
-        both = work.unionByName(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        work = cut(small.where("a <> b").distinct(), f"{name}-e{i + 1}")
-        state = work.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("b")).first()
-        if state == before:
-            break
-        before = state
-    return work.select(F.col("a").alias("node"), F.col("b").alias("root"))
+def _orders(positions: int, trees: int, depth: int) -> np.ndarray:
+    """By tree the positions it sorts by: first its own, then others in an order of its own."""
+    rng = np.random.default_rng(21)
+    own = rng.permutation(positions)[: trees * depth].reshape(trees, depth)
+    rest = [rng.permutation(np.setdiff1d(np.arange(positions), row)) for row in own]
+    return np.stack([np.concatenate([row, r])[: min(REACH, positions)] for row, r in zip(own, rest, strict=True)])
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -143,11 +123,11 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _merge(roots: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
     """``node, root`` after more links: components of the components, so that only their roots meet."""
     if roots is None:
-        return cut(components(links, name), f"{name}-roots")
+        return components(links, name)
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
     edges = between.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    over = cut(components(edges, name), f"{name}-over")
+    over = components(edges, name)
     moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     fresh = over.join(roots, "node", "left_anti")
     return cut(moved.unionByName(fresh), f"{name}-roots")
@@ -155,7 +135,7 @@ def _merge(roots: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
 
 def _sets(docs: DataFrame, size: int, positions: int) -> DataFrame:
     """``doc, n, digest, sig`` of each row; digest and sig are null without shingles."""
-    a, b = _hashes(positions)
+    a = _multipliers(positions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
@@ -165,7 +145,7 @@ def _sets(docs: DataFrame, size: int, positions: int) -> DataFrame:
                 s = shingles(x, size, memo)
                 n.append(len(s))
                 digest.append(hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None)
-                sig.append(signature(s, a, b).tobytes() if len(s) else None)
+                sig.append(signature(s, a).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc", "n", "digest", "sig"]
             )
@@ -173,23 +153,119 @@ def _sets(docs: DataFrame, size: int, positions: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, digest binary, sig binary")
 
 
-def _keys(reps: DataFrame, orders: np.ndarray, depth: int) -> DataFrame:
-    """``rep, n, key, tree``: the prefixes of a depth in all trees, each as a 64-bit name that holds the tree."""
-    trees = len(orders)
+def _strings(reps: DataFrame, orders: np.ndarray) -> DataFrame:
+    """``tree, pre, rep, n``: the signatures in the order of each tree, as byte strings that sort like it."""
+    trees, reach = orders.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, -1).astype(U)
-            key = np.tile(np.arange(1, trees + 1, dtype=U) * U(0xD1342543DE82EF95), (batch.num_rows, 1))
-            for j in range(depth):
-                key = _mix(key * U(0x9E3779B97F4A7C15) + sig[:, orders[:, j]])
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+            pre = sig[:, orders].astype(">u2").tobytes()
+            width = 2 * reach
+            rows = [pre[i : i + width] for i in range(0, len(pre), width)]
             rep, n = (np.repeat(batch.column(i).to_numpy(), trees) for i in (0, 1))
             tree = np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n), pa.array(key.ravel().astype(np.int64)), pa.array(tree)], ["rep", "n", "key", "tree"])
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(rows, pa.binary()), pa.array(rep), pa.array(n)], ["tree", "pre", "rep", "n"])
+
+    return reps.select("rep", "n", "sig").mapInArrow(run, "tree int, pre binary, rep long, n long")
+
+
+#: Rows of a forest: members of regions with what they are paired with, and (``mark``) where a region may go on in another task.
+RUN = "mark boolean, key long, tree int, rep long, n long, head long, head_n long, common int"
+
+
+class _Walk:
+    """One pass over a range of the sorted run, with the open nodes of the tree on a stack."""
+
+    def __init__(self, depth: int):
+        self.depth, self.first, self.begin = depth, True, None
+        self.stack: list[tuple[int, tuple[int, int]]] = []
+
+    def name(self, tree: int, pre: np.ndarray) -> int:
+        key = np.array([tree + 1], U) * U(0xD1342543DE82EF95)
+        for v in pre[: self.depth]:
+            key = _mix(key * U(0x9E3779B97F4A7C15) + U(int(v)))
+        return int(key.astype(np.int64)[0])
+
+    def rows(self, tree: np.ndarray, pre: np.ndarray, rep: np.ndarray, n: np.ndarray, start: int, last: bool) -> list[tuple]:
+        """Rows from ``start`` on; the last one waits for the row after it, unless there is none."""
+        same = np.zeros(len(rep), np.int64)
+        equal = np.concatenate([pre[1:] == pre[:-1], np.zeros((len(rep) - 1, 1), bool)], 1)
+        same[1:] = np.where(tree[1:] == tree[:-1], equal.argmin(1), 0)
+        follows = same >= self.depth
+        member = follows.copy()
+        member[:-1] |= follows[1:]
+        member[start] |= self.first
+        member[-1] |= last
+        out: list[tuple] = []
+        for i in (np.flatnonzero(member[start : len(rep) - (not last)]) + start).tolist():
+            here = (int(rep[i]), int(n[i]))
+            if follows[i]:
+                common, head = int(same[i]), (int(rep[i - 1]), int(n[i - 1]))
+                while self.stack and self.stack[-1][0] > common:
+                    head = self.stack.pop()[1]
+                if self.stack and self.stack[-1][0] == common:
+                    head = self.stack[-1][1]
+                else:
+                    self.stack.append((common, head))
+                out.append((False, self.begin[0], int(tree[i]), *here, *head, common))
+            else:
+                self.stack.clear()
+                self.begin = (self.name(int(tree[i]), pre[i]), int(tree[i]), *here)
+                out.append((False, *self.begin, None, None, None))
+                if self.first:
+                    out.append((True, *self.begin, None, None, None))
+            self.first = False
+        if last:
+            out.append((True, *self.begin, None, None, None))
+        return out
+
+
+def _runs(strings: DataFrame, depth: int, reach: int) -> DataFrame:
+    """The regions of every sorted run, and for each member the first of those with the longest common prefix (``head``).
+
+    A task walks a range of the sorted run once.  The first row of a range and the first of its last region are marked:
+    regions that go on in the next range are put together by these.
+    """
+    kinds = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    names = [c.split()[0] for c in RUN.split(", ")]
 
-    return reps.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, key long, tree int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, held = _Walk(depth), None  # held: the row that waits, after the one before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pre = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, reach)
+            now, start = [batch.column(0).to_numpy(), pre, batch.column(2).to_numpy(), batch.column(3).to_numpy()], 0
+            if held is not None:
+                now, start = [np.concatenate([h, x]) for h, x in zip(held[0], now, strict=True)], held[1]
+            out = walk.rows(*now, start, False) if len(now[2]) - start > 1 else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            keep = max(0, len(now[2]) - 2)
+            held = ([x[keep:].copy() for x in now], len(now[2]) - 1 - keep)
+        if held is not None:
+            out = walk.rows(*held[0], held[1], True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    ordered = strings.repartitionByRange("tree", "pre", "rep").sortWithinPartitions("tree", "pre", "rep")
+    return ordered.mapInArrow(run, RUN)
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures agree in ``least`` positions."""
+    of = lambda c: classes.select(F.col("rep").alias(c), F.col("sig").alias(f"s{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
+                keep = pa.array((x == y).sum(1) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name: str) -> DataFrame:
@@ -208,7 +284,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name:
         def of(text: str) -> np.ndarray:
             known = made.get(text)
             if known is None:
-                if len(made) >= 32:  # the first of a region comes again and again
+                if len(made) >= 32:  # the head of a node comes again and again
                     made.clear()
                 known = made[text] = shingles(text, size, memo)
             return known
@@ -227,8 +303,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int, name:
     return cut(met.mapInArrow(compare, "a long, b long"), f"{name}-links")
 
 
-#: Columns of a unit: a pair of blocks of a region.
-UNIT = "key long, i int, j int, second boolean, tree int, rep long, root long, n long, sig binary"
+#: Columns of a unit: a block of a region's members and a block (``second``) of those that its largest component does not hold (``other``).
+UNIT = "key long, i int, j int, second boolean, other boolean, tree int, rep long, root long, n long, sig binary"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -251,13 +327,12 @@ def _candidates(unit: list[tuple], prefixes: np.ndarray, percent: int, least: fl
     is left to that tree, where it is met in the same way.
     """
     column = lambda k, t: np.array([r[k] for r in unit], t)
-    second, root, n = column(3, bool), column(6, np.int64), column(7, np.int64)
-    sig = np.frombuffer(b"".join(r[8] for r in unit), np.uint16).reshape(len(unit), -1)
-    whole, earlier = unit[0][1] == unit[0][2], prefixes[: unit[0][4]]
-    one, two = (np.arange(len(unit)),) * 2 if whole else (np.flatnonzero(~second), np.flatnonzero(second))
-    for x in one:
+    second, other, rep, root, n = column(3, bool), column(4, bool), column(6, np.int64), column(7, np.int64), column(8, np.int64)
+    sig = np.frombuffer(b"".join(r[9] for r in unit), np.uint16).reshape(len(unit), -1)
+    earlier, two = prefixes[: unit[0][5]], np.flatnonzero(~second)
+    for x in np.flatnonzero(second):
         ok = (root[two] != root[x]) & (100 * np.minimum(n[two], n[x]) >= percent * np.maximum(n[two], n[x]))
-        y = two[ok & (two > x)] if whole else two[ok]
+        y = two[ok & (~other[two] | (rep[two] < rep[x]))]  # two that are both outside meet twice
         if not len(y):
             continue
         agree = sig[y] == sig[x]
@@ -270,27 +345,28 @@ def _candidates(unit: list[tuple], prefixes: np.ndarray, percent: int, least: fl
 
 
 def _by_unit(df: DataFrame) -> DataFrame:
-    return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep", "second")
 
 
 def _suspects(members: DataFrame, prefixes: np.ndarray, percent: int, least: float, size: int, mass: int) -> DataFrame:
     """The rows of units that have a candidate.
 
-    ``members`` has key, count, mass, tree, rep, root, n, sig.  A region has so many blocks that none
-    has much more than ``size`` members or ``mass`` shingles, and each pair of blocks is one unit,
-    however large the region.
+    ``members`` has key, count, mass, others, tree, rep, root, other, n, sig.  A region has so many blocks of members that none has
+    much more than ``size`` of them or ``mass`` shingles, and so many blocks of others; each pair of blocks is one
+    unit.  A member moves once for each block of others, one of the others also once for each block of members.
     """
-    blocks = F.greatest(F.ceil(F.col("count") / size), F.ceil(F.col("mass") / mass), F.lit(1)).cast("int")
-    units = (
-        members.withColumn("_blocks", blocks)
-        .withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks").cast("long")).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other"), "second": F.col("_own") > F.col("_other")})
-        .select("key", "i", "j", "second", "tree", "rep", "root", "n", "sig")
-    )
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / size), F.ceil(F.col("mass") / mass * F.col(n) / F.col("count")), F.lit(1)).cast("int")
+    place = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n).cast("long")).cast("int")
+    at = lambda i, j, second: F.struct(i.alias("i"), j.alias("j"), F.lit(second).alias("second"))
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    none = F.array().cast("array<struct<i:int,j:int,second:boolean>>")
+    placed = members.withColumns({"_b": blocks("count"), "_p": blocks("others")}).withColumns({"_own": place(1, "_b"), "_own2": place(2, "_p")})
+    here = F.transform(span("_p"), lambda j: at(F.col("_own"), j, False))
+    there = F.when(F.col("other"), F.transform(span("_b"), lambda i: at(i, F.col("_own2"), True))).otherwise(none)
+    units = placed.withColumn("u", F.explode(F.concat(here, there))).select("key", "u.i", "u.j", "u.second", "other", "tree", "rep", "root", "n", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         names = [c.split()[0] for c in UNIT.split(", ")]
         for unit in _units(batches):
             met = np.zeros(len(unit), bool)
@@ -316,12 +392,12 @@ def _links(suspects: DataFrame, texts: DataFrame, prefixes: np.ndarray, size: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for unit in _units(batches):
-            sets = [shingles(r[9], size, memo) for r in unit]
+            sets = [shingles(r[10], size, memo) for r in unit]
             end = np.cumsum([len(s) for s in sets])
             names, code = np.unique(np.concatenate(sets), return_inverse=True)
             codes = np.split(code, end[:-1])
             own_set = np.zeros(len(names), bool)
-            part = np.unique([r[6] for r in unit], return_inverse=True)[1]
+            part = np.unique([r[7] for r in unit], return_inverse=True)[1]
             found = []
             for x, ys in _candidates(unit, prefixes, percent, least):
                 own_set[codes[x]] = True
@@ -330,7 +406,7 @@ def _links(suspects: DataFrame, texts: DataFrame, prefixes: np.ndarray, size: in
                         continue
                     both = np.count_nonzero(own_set[codes[y]])
                     if both and 100 * both >= percent * (len(codes[x]) + len(codes[y]) - both):
-                        found.append((unit[x][5], unit[y][5]))
+                        found.append((unit[x][6], unit[y][6]))
                         part[part == part[y]] = part[x]
                 own_set[codes[x]] = False
             if found:
@@ -347,12 +423,8 @@ def near_duplicates(
     size: int = 5,
     percent: int = 80,
     positions: int = 128,
-    trees: int = 40,
-    depth: int = 8,
-    deeper: int = 8,
-    crowd: int = 64,
-    block: int = 512,
-    mass: int = 4_000_000,
+    block: int = 256,
+    mass: int = 2_000_000,
     miss: float = 1e-5,
 ) -> DataFrame:
     """Return ``key, n_shingles, component_id, kept`` for every row of ``docs``.
@@ -365,66 +437,60 @@ def near_duplicates(
     different texts are one document, linked wherever one of the texts is.  Other columns are not read; an empty table gives
     an empty result.
 
-    ``depth`` is the most that a region takes: ``forest`` lowers it until a pair at the threshold is
-    missed by all trees with a chance of ``miss`` at most (6 positions and 5.7e-6 for 85 percent, 4 and
-    4.6e-7 for 80, with 40 trees); what is nearer is met more surely.  The exact step drops a pair only
-    if its signatures agree 5.5 standard deviations less than those of a link would.
+    ``forest`` gives the depth of regions and the trees such that a pair at the threshold is missed by all trees
+    with a chance of ``miss`` at most (20 trees of 5 positions and 8.1e-6 for 85 percent, 22 of 4 and 9.2e-6 for
+    80); what is nearer is met more surely.  A pair is given up before its full sets are compared only if its
+    signatures agree 5.5 standard deviations less than those of a link would.  What is written on the way is removed at the end.
     """
-    session(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    every = cut(_sets(rows, size, positions), "near-sets")
-    classes = cut(
-        every.where(F.col("digest").isNotNull() & F.col("doc").isNotNull())
-        .groupBy("digest")
-        .agg(F.min(F.struct("doc", "n", "sig")).alias("m"))
-        .select("digest", F.col("m.doc").alias("rep"), F.col("m.n").alias("n"), F.col("m.sig").alias("sig")),
-        "near-classes",
-    )
-    level = percent / 100
-    trees, depth = forest(level, positions, trees, depth, miss)
-    orders = _orders(positions, trees, min(depth + deeper, positions))
-    alike = 100 * F.least("n", "first.n") >= percent * F.greatest("n", "first.n")
-
-    def nodes(reps: DataFrame, at: int) -> DataFrame:
-        """``key, tree, rep, n, count, first`` of the members of the nodes at a depth that have two or more."""
-        keys = _keys(reps, orders, at)
-        shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("rep", "n")).alias("first")).where("count > 1")
-        return keys.join(shared, "key")
-
-    regions = cut(nodes(classes, depth), "near-regions")
-    crowded = regions.where(F.col("count") > crowd).select("rep").distinct()
-    dense = cut(nodes(classes.join(crowded, "rep", "left_semi"), orders.shape[1]), "near-dense")
-    star = cut(
-        regions.unionByName(dense)
-        .where((F.col("rep") != F.col("first.rep")) & alike)
-        .select(F.col("rep").alias("a"), F.col("first.rep").alias("b"))
-        .distinct(),
-        "near-star",
-    )
-    # most of a group of copies hangs on its smallest member: one pair for each member settles it
-    first = cut(star.groupBy("a").agg(F.min("b").alias("b")), "near-first")
-    roots = _merge(None, _confirm(first, rows, size, percent, "near-1"), "near-c1")
-    rest = _apart(star, roots).join(first, ["a", "b"], "left_anti")
-    roots = _merge(roots, _confirm(cut(rest, "near-other"), rows, size, percent, "near-2"), "near-c2")
-    placed = cut(
-        regions.select("key", "tree", "count", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")),
-        "near-placed",
-    )
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("mass")).where("lo < hi").select("key", "mass")
-    members = placed.join(split, "key").join(classes.select("rep", "sig"), "rep")
-    least = positions * (level - 5.5 * (level * (1 - level) / positions) ** 0.5)
-    prefixes = orders[:, :depth]
-    suspects = cut(_suspects(members, prefixes, percent, least, block, mass), "near-suspects")
-    final = _merge(roots, _links(suspects, rows, prefixes, size, percent, least, "near-3"), "near-c3")
-    named = classes.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    component = F.when(F.col("doc").isNotNull(), F.coalesce("root", "doc"))
-    return (
-        every.select("doc", "n", "digest")
-        .join(named, "digest", "left")
-        .select(
-            F.col("doc").cast(docs.schema[key].dataType).alias(key),
-            F.col("n").alias("n_shingles"),
-            component.cast(docs.schema[key].dataType).alias("component_id"),
-            F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"),
+    with scope(session(docs.sparkSession)):
+        rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        level = percent / 100
+        trees, depth, positions = forest(level, positions, miss)
+        every = cut(_sets(rows, size, positions), "near-sets")
+        classes = cut(
+            every.where(F.col("digest").isNotNull() & F.col("doc").isNotNull())
+            .groupBy("digest")
+            .agg(F.min(F.struct("doc", "n", "sig")).alias("m"))
+            .select("digest", F.col("m.doc").alias("rep"), F.col("m.n").alias("n"), F.col("m.sig").alias("sig")),
+            "near-classes",
+        )
+        orders = _orders(positions, trees, depth)
+        least = positions * (level - 5.5 * (level * (1 - level) / positions) ** 0.5)
+        walked = cut(_runs(cut(_strings(classes, orders), "near-strings"), depth, orders.shape[1]), "near-runs")
+        paired = F.col("head").isNotNull() & (F.col("head") != F.col("rep")) & (100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n"))
+        pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+        # one pair for each member, with what it has most in common, settles most of a group of copies
+        best = walked.where(paired).groupBy("rep").agg(F.max_by("head", F.struct("common", F.lit(0) - F.col("head"))).alias("head")).select(*pair("rep", "head"))
+        marks = walked.where("mark").select("key", "rep").distinct()
+        across = marks.join(marks.groupBy("key").agg(F.min("rep").alias("to")), "key").where("rep <> to").select(*pair("rep", "to"))
+        first = cut(_likely(best.unionByName(across).distinct(), classes, least), "near-first")
+        roots = _merge(None, _confirm(first, rows, size, percent, "near-1"), "near-c1")
+        others = cut(_apart(walked.where(paired).select(*pair("rep", "head")).distinct(), roots).join(first, ["a", "b"], "left_anti"), "near-others")
+        roots = _merge(roots, _confirm(cut(_likely(others, classes, least), "near-second"), rows, size, percent, "near-2"), "near-c2")
+        placed = cut(
+            walked.where("NOT mark").select("key", "tree", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")),
+            "near-placed",
+        )
+        parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("m"))
+        split = parts.groupBy("key").agg(
+            F.sum("c").alias("count"), F.sum("m").alias("mass"), F.max_by("root", F.struct("c", F.lit(0) - F.col("root"))).alias("main"), F.max("c").alias("largest"), F.count(F.lit(1)).alias("parts")
+        )
+        split = split.where("parts > 1").select("key", "count", "mass", "main", (F.col("count") - F.col("largest")).alias("others"))
+        members = placed.join(split, "key").withColumn("other", F.col("root") != F.col("main")).join(classes.select("rep", "sig"), "rep")
+        prefixes = orders[:, :depth]
+        suspects = cut(_suspects(members, prefixes, percent, least, block, mass), "near-suspects")
+        final = _merge(roots, _links(suspects, rows, prefixes, size, percent, least, "near-3"), "near-c3")
+        named = classes.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+        component = F.when(F.col("doc").isNotNull(), F.coalesce("root", "doc"))
+        kind = docs.schema[key].dataType
+        result = (
+            every.select("doc", "n", "digest")
+            .join(named, "digest", "left")
+            .select(
+                F.col("doc").cast(kind).alias(key),
+                F.col("n").alias("n_shingles"),
+                component.cast(kind).alias("component_id"),
+                F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"),
+            )
         )
-    )
+        return cut(result, "near-result", keep=True)

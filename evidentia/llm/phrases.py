@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import session
@@ -143,18 +143,19 @@ def from_string(text: str) -> tuple[np.ndarray, ...]:
 
 
 def likeness(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
-    """Estimated share of common names (Jaccard) at the highest level that both texts fill; 1 for equal fingerprints."""
+    """Estimated share of common names (Jaccard) at the highest level that both texts fill, or else at the lowest of which both have
+    names on record; 1 for equal fingerprints, 0 where there is none.  Longer texts keep no names of the first level."""
     if all(len(x) == len(y) and (x == y).all() for x, y in zip(a, b, strict=True)):
         return 1.0
-    for level in range(len(KEPT) - 1, -1, -1):
-        x, y = a[level], b[level]
-        if min(int(x[0]), int(y[0])) >= ENOUGH[level]:
-            union = np.union1d(x[1:], y[1:])[: KEPT[level]]
-            if not len(union):
-                return 0.0
-            both = np.intersect1d(np.intersect1d(x[1:], y[1:], assume_unique=True), union, assume_unique=True)
-            return len(both) / len(union)
-    return 0.0
+    kept = [i for i in range(len(KEPT)) if len(a[i]) > 1 and len(b[i]) > 1]
+    full = [i for i in kept if min(int(a[i][0]), int(b[i][0])) >= ENOUGH[i]]
+    if not kept:
+        return 0.0
+    level = full[-1] if full else kept[0]
+    x, y = a[level], b[level]
+    union = np.union1d(x[1:], y[1:])[: KEPT[level]]
+    both = np.intersect1d(np.intersect1d(x[1:], y[1:], assume_unique=True), union, assume_unique=True)
+    return len(both) / len(union)
 
 
 def edited(text: str, following: str) -> str:
@@ -163,21 +164,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _bucket(order: F.Column, bounds: list[int]) -> F.Column:
-    """How many of the sorted bounds are at most the value, by binary search."""
-    known = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    step, steps = 1, []
-    while step <= len(bounds):
-        steps.insert(0, step)
-        step *= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]) if steps else F.array().cast("array<int>"),
-        F.lit(0),
-        lambda at, s: at + F.when(F.coalesce(F.get(known, at + s - 1) <= order, F.lit(False)), s).otherwise(0),
-    )
+def _bucket(order: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the value, by binary search in a literal array."""
+    if not bounds:
+        return F.lit(0)
+    known = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded into one literal
+    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)]
+    at = lambda n, s: n + F.when(F.coalesce(F.get(known, n + s - 1) <= order, F.lit(False)), s).otherwise(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), at)
 
 
-def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 2000, most_buckets: int = 512) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = 2000, most_ranges: int = 1 << 16) -> DataFrame:
     """Return ``key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` for every row.
 
     The next document is the next row in ascending order of (key, text), after the last row the
@@ -185,10 +182,10 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     next.  The key is an integer.  Repeated rows follow each other.  Other columns are not read; an
     empty table gives an empty result.
 
-    Keys are cut into ranges of about ``rows`` rows (``most_buckets`` ranges at most, their bounds
-    from approximate quantiles of the keys alone).  Each range also gets the first row of the
-    next range, so the texts are shuffled once, and a range is streamed in order: a task holds a
-    few texts at a time, however many rows its range has.
+    Keys are cut into ranges of about ``rows`` rows; their bounds are approximate quantiles of the keys alone, a
+    table of 8 bytes a range that the driver holds.  Beyond ``most_ranges`` ranges they get longer.  Each
+    range also gets the first row of the next range, goes to a partition of its own, so texts are shuffled once,
+    and is streamed in order: a task holds a few texts at a time, however many rows its range has.
     """
     spark = session(docs.sparkSession)
     least = -(2**63)
@@ -196,25 +193,27 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     rows_ = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_o", order)
     keys = docs.select(F.col(key).alias("_k")).withColumn("_o", order)
     total = keys.count()
-    n = max(1, min(most_buckets, -(-total // rows)))
+    n = max(1, min(most_ranges, -(-total // rows)))
     bounds: list[int] = []
     if n > 1:
-        at = keys.agg(F.percentile_approx("_o", [i / n for i in range(1, n)], 10000)).first()[0]
+        at = keys.agg(F.percentile_approx("_o", [i / n for i in range(1, n)], 10 * max(n, 1000))).first()[0]
         bounds = sorted(set(at))
     bucket = _bucket(F.col("_o"), bounds)
     heads = sorted((r["_b"], r["_o"]) for r in keys.withColumn("_b", bucket).groupBy("_b").agg(F.min("_o").alias("_o")).collect())
-    before = {o: heads[i - 1][0] for i, (_, o) in enumerate(heads)}  # the range that ends with this head
-    ends = spark.createDataFrame([(o, b) for o, b in before.items()], "_o long, _b int")
+    place = {b: i for i, (b, _) in enumerate(heads)}  # ranges that have rows, from 0 on
+    ends = spark.createDataFrame([(o, i - 1 if i else len(heads) - 1) for i, (_, o) in enumerate(heads)], "_o long, _b int")  # the range that ends with this head
     marks = (
         rows_.join(F.broadcast(ends), "_o")
         .groupBy("_o", "_b")
         .agg(F.min("_t").alias("_t"))
         .select(F.lit(None).cast(docs.schema[key].dataType).alias("_k"), "_t", "_o", "_b", F.lit(True).alias("_end"))
     )
+    if len(place) <= len(bounds):  # bounds that no row lies between
+        bucket = _bucket(F.col("_o"), [o for _, o in heads][1:])
     stream = (
         rows_.withColumns({"_b": bucket, "_end": F.lit(False)})
         .unionByName(marks)
-        .repartition(max(n, 1), "_b")
+        .repartitionById(max(1, len(heads)), "_b")
         .sortWithinPartitions("_b", "_end", "_o", "_t")
         .select("_k", "_t", "_end")
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, held_out, session, texts_of, unit_hash
+from evidentia.llm.common import cut, held_out, scope, session, texts_of, unit_hash
 
 TOKEN = re.compile(r"[^\W\d_]+")
 STEM = 5
@@ -71,78 +71,86 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _screen(sets: DataFrame, n: int, m: int, least: int, z: float, most: int) -> np.ndarray:
-    """Features with a clearly different frequency among the ``n`` positives and the ``m`` unlabelled texts, the clearest first.
+@dataclass
+class Rows:
+    """Which features of a vocabulary each of ``size`` texts has: places in the vocabulary, and the text of each."""
 
-    The counts are summed on the executors; at most ``most`` features reach the driver."""
-    counted = (
-        sets.where((F.col("y") == 1) | F.col("u"))
-        .select(F.explode("f").alias("f"), F.coalesce((F.col("y") == 1).cast("int"), F.lit(0)).alias("p"), F.col("u").cast("int").alias("u"))
-        .groupBy("f")
-        .agg(F.sum("p").alias("a"), F.sum("u").alias("b"))
-    )
-    both = F.col("a") + F.col("b")
-    share = both / (n + m)
-    spread = F.sqrt(share * (1 - share) * (1 / n + 1 / m)) + 1e-12
-    found = (
-        counted.select(F.pmod(F.col("f").cast("long"), F.lit(1 << 32)).alias("f"), both.alias("c"), (F.abs(F.col("a") / n - F.col("b") / m) / spread).alias("v"))
-        .where((F.col("c") >= least) & (F.col("v") >= z))
-        .orderBy(F.desc("v"), "f")
-        .limit(most)
-    )
-    return np.array([r["f"] for r in found.collect()], np.int64)
+    ids: np.ndarray
+    text: np.ndarray
+    size: int
+    wide: int
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.text, weights=w[self.ids], minlength=self.size)
+
+    def back(self, d: np.ndarray) -> np.ndarray:
+        return np.bincount(self.ids, weights=d[self.text], minlength=self.wide)
+
+    def only(self, keep: np.ndarray) -> Rows:
+        place = np.cumsum(keep) - 1
+        inside = keep[self.text]
+        return Rows(self.ids[inside], place[self.text[inside]], int(keep.sum()), self.wide)
+
+
+def _screen(found: DataFrame, n: int, m: int, least: int, z: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features whose frequency among the ``n`` positives differs clearly from that among all ``m`` texts, and both counts.
 
+    Counts are summed on the executors.  Only features of which the sample of positives has, or lacks, more than chance gives can
+    pass, so what reaches the driver is bounded by that sample, not by the corpus."""
+    a, expected, share = F.col("a"), F.col("b") * n / m, F.col("b") / m
+    far = F.abs(a - expected) / F.sqrt(expected * (1 - share) + 1)  # what comes up once or twice is far from nothing
+    clear = found.where((F.col("b") >= least) & (far >= z)).select(F.pmod(F.col("f").cast("long"), F.lit(1 << 32)).alias("f"), "a", "b").toArrow()
+    columns = [clear.column(c).to_numpy().astype(np.int64) for c in ("f", "a", "b")]
+    order = np.argsort(columns[0])
+    return columns[0][order], columns[1][order], columns[2][order]
 
-def _rows(sets: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By text of the sample which features of the vocabulary it has, its label (-1: none) and whether it counts as unlabelled.
 
-    A text reaches the driver as one bit for each feature of the vocabulary."""
-    order = np.argsort(vocabulary)
-    ranked, wide = vocabulary[order], len(vocabulary)
+def _rows(sets: DataFrame, vocabulary: np.ndarray) -> tuple[Rows, np.ndarray, np.ndarray]:
+    """By text of the sample which features of the (sorted) vocabulary it has, its label (-1: none) and whether it counts as unlabelled."""
+    wide = len(vocabulary)
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.zeros((batch.num_rows, wide), bool)
-            for i, f in enumerate(batch.column(0)):
+            found = []
+            for f in batch.column(0):
                 s = f.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.int64)
-                if wide and len(s):
-                    at = np.minimum(np.searchsorted(ranked, s), wide - 1)
-                    x[i, order[at[ranked[at] == s]]] = True
-            packed = [row.tobytes() for row in np.packbits(x, axis=1)]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), batch.column(2)], ["x", "y", "u"])
-
-    got = sets.mapInArrow(bits, "x binary, y int, u boolean").toArrow()
-    packed = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(got.num_rows, -(-wide // 8))
+                at = np.minimum(np.searchsorted(vocabulary, s), max(wide - 1, 0))
+                found.append(at[vocabulary[at] == s].astype(np.int32) if wide and len(s) else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["f", "y", "u"])
+
+    got = sets.mapInArrow(known, "f array<int>, y int, u boolean").toArrow().combine_chunks()
+    lists = got.column("f").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
     y = np.array([-1 if v is None else v for v in got.column("y").to_pylist()], np.int64)
-    return np.unpackbits(packed, axis=1, count=wide).astype(np.float32), y, np.array(got.column("u").to_pylist(), bool)
+    rows = Rows(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), len(sizes), wide)
+    return rows, y, np.array(got.column("u").to_pylist(), bool)
 
 
-def _scale(x_pos: np.ndarray, x_unl: np.ndarray, prior: float) -> np.ndarray:
-    """Log ratio of a feature's frequency among positives to that among negatives, the latter as unlabelled less prior times positives."""
-    n, m = len(x_pos), len(x_unl)
-    in_pos = (x_pos.sum(0) + 0.5) / (n + 1)
-    in_neg = np.maximum((x_unl.mean(0) - prior * x_pos.mean(0)) / (1 - prior), 0) + 0.5 / m + 0.02 * in_pos
-    return np.clip(np.log(in_pos / in_neg), -4, 4).astype(np.float32)
+def _scale(in_pos: np.ndarray, in_all: np.ndarray, n: int, m: int, prior: float) -> np.ndarray:
+    """Log ratio of a feature's frequency among positives to that among negatives, the latter as all texts less prior times positives."""
+    pos = (in_pos + 0.5) / (n + 1)
+    neg = np.maximum((in_all / m - prior * in_pos / n) / (1 - prior), 0) + 0.5 / m + 0.02 * pos
+    return np.clip(np.log(pos / neg), -4, 4)
 
 
-def nnpu(x_pos: np.ndarray, x_unl: np.ndarray, prior: float, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def nnpu(pos: Rows, unl: Rows, scale: np.ndarray, prior: float, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier under the non-negative risk with the logistic loss (Adam, full batches)."""
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -40, 40)))
-    w, b = np.zeros(x_pos.shape[1]), 0.0
+    w, b = np.zeros(len(scale)), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        gp, gu = x_pos @ w + b, x_unl @ w + b
+        gp, gu = pos.dot(scale * w) + b, unl.dot(scale * w) + b
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         up = -prior * sigmoid(-gp) / len(gp)  # of p R_P(+)
         if negative >= 0:
             dp, du = up - prior * sigmoid(gp) / len(gp), sigmoid(gu) / len(gu)
         else:  # the part below zero is undone before anything else is learnt
             dp, du = prior * sigmoid(gp) / len(gp), -sigmoid(gu) / len(gu)
-        g = np.append(dp @ x_pos + du @ x_unl + decay * w, dp.sum() + du.sum())
+        g = np.append(scale * (pos.back(dp) + unl.back(du)) + decay * w, dp.sum() + du.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return w, b
+    return scale * w, b
 
 
 def platt(margin: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -170,68 +178,101 @@ def fit(
     max_positive: int = 6000,
     max_negative: int = 6000,
     max_unlabelled: int = 12000,
-    max_features: int = 400,
     prior: float | None = None,
+    clear: float = 4.0,
+    decay: float = 1e-3,
 ) -> Model:
     """Train on the rows outside the held-out fold.
 
-    The sample is bounded: at most about ``max_positive`` rows labelled 1, ``max_negative`` labelled
-    0 (these serve the calibration and the prior only) and ``max_unlabelled`` rows of any kind, each
-    chosen by a hash of the key at a rate that the counts over all rows give.  ``prior`` is by
-    default the share of 1 among the labelled rows.  A key with several labels is toxic if any of
-    them is; null labels and null keys are no labels.  The features of the sample stay in the shared
-    folder; the driver gets ``max_features`` of them and a bit for each in each text.  Without a positive or without another text
-    the model scores everything as the prior (0 without labels).
+    What frequent features are is counted over all these rows.  The sample on which the risk is minimised is bounded: at most
+    about ``max_positive`` rows labelled 1, ``max_negative`` labelled 0 (these serve the calibration and the prior only) and
+    ``max_unlabelled`` rows of any kind, each chosen by a hash of the key at a rate that the counts over all rows give.
+    ``prior`` is by default the share of 1 among the labelled rows.  A key with several labels is toxic if any of them is;
+    null labels and null keys are no labels.  A feature enters the model if its frequency among positives is ``clear`` standard
+    deviations from that among all texts.  Margins are calibrated on halves of the sample that the other half judges.
+    Texts are read once, for counts and sample alike.  Without a positive or without another text the model scores
+    everything as the prior (0 without labels).
     """
-    session(docs.sparkSession)
-    own = (
-        labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
-        .where(F.col("_k").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_k")))
-        .groupBy("_k")
-        .agg(F.max("_y").alias("_y"))
-    )
-    counts = {r["_y"]: r["count"] for r in own.groupBy("_y").count().collect()}
-    pos_n, neg_n = counts.get(1, 0), counts.get(0, 0)
-    share = pos_n / (pos_n + neg_n) if pos_n + neg_n else 0.0
-    if prior is None:
-        prior = share
-    rate = lambda most, n: min(1.0, most / n) if n else 0.0
-    train = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(~held_out(F.col("_k")))
-    total = train.count()
-    draw = unit_hash(F.col("_k"), "toxicity")
-    chosen = own.where(draw < F.when(F.col("_y") == 1, rate(max_positive, pos_n)).otherwise(rate(max_negative, neg_n)))
-    sample = (
-        train.withColumn("_free", unit_hash(F.col("_k"), "unlabelled") < rate(max_unlabelled, total))
-        .join(F.broadcast(chosen), "_k", "left")
-        .where(F.col("_free") | F.col("_y").isNotNull())
-        .select("_t", "_y", "_free")
-    )
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple[int, int]] = {}
-        for batch in batches:
-            sets = [np.array(sorted(features(x, memo)), np.uint32).view(np.int32) for x in texts_of(batch.column(0), 0, batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["f", "y", "u"])
-
-    sets = cut(sample.mapInArrow(extract, "f array<int>, y int, u boolean"), "toxicity-sample")
-    sizes = sets.agg(F.count_if(F.col("y") == 1).alias("n"), F.count_if("u").alias("m")).first()
-    if not sizes["n"] or not sizes["m"] or not 0 < prior < 1:
-        flat = min(max(prior, 1e-6), 1 - 1e-6)
-        return Model({}, 0.0, 0.0, float(np.log(flat / (1 - flat))))
-    vocabulary = _screen(sets, sizes["n"], sizes["m"], least=5, z=5.0, most=max_features)
-    x, y, free = _rows(sets, vocabulary)
-    x_pos, x_unl = x[y == 1], x[free]
-    scale = _scale(x_pos, x_unl, prior)
-    w, b = nnpu(x_pos * scale, x_unl * scale, prior)
-    w = w * scale
+    spark = session(docs.sparkSession)
+    with scope(spark):
+        own = (
+            labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
+            .where(F.col("_k").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_k")))
+            .groupBy("_k")
+            .agg(F.max("_y").alias("_y"))
+        )
+        counts = {r["_y"]: r["count"] for r in own.groupBy("_y").count().collect()}
+        pos_n, neg_n = counts.get(1, 0), counts.get(0, 0)
+        share = pos_n / (pos_n + neg_n) if pos_n + neg_n else 0.0
+        if prior is None:
+            prior = share
+        rate = lambda most, n: min(1.0, most / n) if n else 0.0
+        train = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(~held_out(F.col("_k")))
+        total = train.count()
+        draw = unit_hash(F.col("_k"), "toxicity")
+        chosen = own.where(draw < F.when(F.col("_y") == 1, rate(max_positive, pos_n)).otherwise(rate(max_negative, neg_n)))
+        marked = (
+            train.withColumn("_free", unit_hash(F.coalesce(F.col("_k").cast("string"), F.lit("")), "unlabelled") < rate(max_unlabelled, total))
+            .join(F.broadcast(chosen), "_k", "left")  # the sample's labels, bounded by its parameters
+            .select("_t", "_y", "_free")
+        )
+        read = cut(marked.mapInArrow(_extract, "f array<int>, y int, u boolean, c array<long>"), "toxicity-features")
+        sets = read.where("c IS NULL").select("f", "y", "u")
+        sizes = sets.agg(F.count_if(F.col("y") == 1).alias("n"), F.count_if("u").alias("m")).first()
+        if not sizes["n"] or not sizes["m"] or not 0 < prior < 1:
+            flat = min(max(prior, 1e-6), 1 - 1e-6)
+            return Model({}, 0.0, 0.0, float(np.log(flat / (1 - flat))))
+        everywhere = read.where("c IS NOT NULL").select(F.explode(F.arrays_zip("f", "c")).alias("x")).groupBy(F.col("x.f").alias("f")).agg(F.sum("x.c").alias("b"))
+        positive = sets.where("y = 1").select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("a"))
+        found = everywhere.join(positive, "f", "left").select("f", F.coalesce("a", F.lit(0)).alias("a"), "b")
+        vocabulary, in_pos, in_all = _screen(found, sizes["n"], total, least=5, z=clear)
+        x, y, free = _rows(sets, vocabulary)
+    n = int((y == 1).sum())
+    scale = _scale(in_pos, in_all, n, total, prior)
+    learn = lambda rows: nnpu(x.only((y == 1) & rows), x.only(free & rows), scale, prior, decay=decay)
+    w, b = learn(np.ones(x.size, bool))
+    half = (np.arange(x.size) * 2654435761 % (1 << 32)) >> 31 == 0
     known = np.flatnonzero(y >= 0)
-    margin = x[known] @ w + b
+    margin = x.dot(w) + b
+    if min((y[half] == 1).sum(), (y[~half] == 1).sum(), (free & half).sum(), (free & ~half).sum()) >= 20:
+        for side in (half, ~half):
+            other_w, other_b = learn(~side)
+            margin[side] = (x.dot(other_w) + other_b)[side]
     # rows labelled 0 and 1 may have been drawn at different rates: weigh by repeating the offset
-    slope, offset = platt(margin, y[known].astype(float))
+    slope, offset = platt(margin[known], y[known].astype(float))
     drawn = (y[known] == 1).mean()
     if 0 < drawn < 1 and 0 < share < 1:
         offset += float(np.log(share / (1 - share)) - np.log(drawn / (1 - drawn)))
-    return Model({int(i): float(x) for i, x in zip(vocabulary, w, strict=True)}, float(b), slope, offset)
+    return Model({int(i): float(v) for i, v in zip(vocabulary, w, strict=True)}, float(b), slope, offset)
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the texts that the sample holds, and, with ``c``, how many texts of this task have each feature."""
+    names = ["f", "y", "u", "c"]
+    kinds = [pa.list_(pa.int32()), pa.int32(), pa.bool_(), pa.list_(pa.int64())]
+    memo: dict[str, tuple[int, int]] = {}
+    seen: dict[int, int] = {}
+
+    def counts() -> pa.RecordBatch:
+        ids = np.fromiter(seen.keys(), np.uint32, len(seen)).view(np.int32)
+        row = [[ids], [None], [None], [np.fromiter(seen.values(), np.int64, len(seen))]]
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names)
+
+    for batch in batches:
+        rows = []
+        for x, y, u in zip(texts_of(batch.column(0), 0, batch.num_rows), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            found = features(x, memo)
+            for f in found:
+                seen[f] = seen.get(f, 0) + 1
+            if u or y is not None:
+                rows.append((np.array(sorted(found), np.uint32).view(np.int32), y, bool(u), None))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        if len(seen) >= MEMO:  # as much as a task holds; the rest is added up later
+            yield counts()
+    if seen:
+        yield counts()
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut, fresh_dir, session
+from evidentia.llm.common import cut, fresh_dir, scope, session
 
 CHUNK = 1 << 16
 VERSION = b"WARC/1.1"
@@ -101,7 +101,10 @@ def read_chunks(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], int
             left -= len(data)
             seen += len(data)
             digest.update(data)
-            yield fields, number, seen, base64.b32encode(digest.digest()).decode(), not left, data
+            sofar = base64.b32encode(digest.digest()).decode()
+            if not left and fields["WARC-Type"] == "response" and fields.get("WARC-Payload-Digest", f"sha1:{sofar}") != f"sha1:{sofar}":
+                raise ValueError(f"the bytes of {fields.get('WARC-Record-ID')} are not those of its digest")
+            yield fields, number, seen, sofar, not left, data
             number += 1
             if not left:
                 break
@@ -113,24 +116,31 @@ def base32_of_hex(c: Column) -> Column:
     return F.translate(F.concat(*map(group, range(8))), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def plan_records(pages: DataFrame, key: str, payload: str, least: int) -> DataFrame:
+def plan_records(pages: DataFrame, key: str, payload: str, least: int, common: int = 100_000) -> DataFrame:
     """``_rk, _rsha, _refers`` of the rows that revisit another: of equal payloads of ``least`` bytes or more the smallest key is kept.
 
-    Digests are taken where the rows are; only keys and digests move.  The smallest keys are
-    pre-aggregated, and payloads that occur once do not enter the join.
+    Payloads are equal if length and SHA-256 are.  Digests are taken where the rows are; only keys and digests move.  The
+    smallest keys are pre-aggregated, and payloads that occur once do not enter the join.  A payload of
+    more than ``common`` rows would be one key of a join with all of these: such payloads, of which there are fewer
+    than rows by ``common``, are broadcast instead, up to 100,000 of them.
     """
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
-    found = cut(
-        pages.select(F.col(key).alias("_rk"), F.octet_length(body).alias("_bytes"), F.sha1(body).alias("_rsha")).where(F.col("_bytes") >= least),
-        "warc-digests",
-    )
-    groups = found.groupBy(F.col("_rsha").alias("_d")).agg(F.min("_rk").alias("_refers"), F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _refers IS NOT NULL")
-    return (
-        found.join(groups, F.col("_rsha") == F.col("_d"))
-        .where(~F.col("_rk").eqNullSafe(F.col("_refers")))
-        .select("_rk", "_rsha", "_refers")
-        .distinct()
-    )
+    with scope(pages.sparkSession):
+        found = cut(
+            pages.select(F.col(key).alias("_rk"), F.octet_length(body).alias("_bytes"), F.sha1(body).alias("_rsha"), F.unhex(F.sha2(body, 256)).alias("_same")).where(F.col("_bytes") >= least),
+            "warc-digests",
+        )
+        groups = found.groupBy("_same", "_bytes").agg(F.min("_rk").alias("_refers"), F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _refers IS NOT NULL")
+        groups = cut(groups, "warc-groups")
+        hot, most = groups.where(F.col("_n") > common), 100_000
+        if hot.count() > most:
+            met = found.join(groups, ["_same", "_bytes"])
+        else:
+            known = found.join(F.broadcast(hot), ["_same", "_bytes"], "left")
+            rest = known.where("_n IS NULL").drop("_refers", "_n").join(groups.where(F.col("_n") <= common), ["_same", "_bytes"])
+            met = known.where("_n IS NOT NULL").unionByName(rest)
+        plan = met.where(~F.col("_rk").eqNullSafe(F.col("_refers"))).select("_rk", "_rsha", "_refers").distinct()
+        return cut(plan, "warc-revisits", keep=True)
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -143,7 +153,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     empty table gives no archives.  The date is a parameter, so runs agree.
     """
     session(pages.sparkSession)
-    refers = cut(plan_records(pages, key, payload, least), "warc-revisits")
+    refers = plan_records(pages, key, payload, least)
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("_k"), F.coalesce(F.col(url), F.lit("")).alias("_u"), body.alias("_p")).withColumn("_sha", F.sha1("_p"))
     joined = rows.join(refers, F.col("_k").eqNullSafe(F.col("_rk")) & (F.col("_sha") == F.col("_rsha")), "left").select(
@@ -177,7 +187,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, with_payload: bool =
 
     ``payload_bytes`` and ``payload_digest`` are those of the record's bytes up to and with the
     chunk, so the row marked ``last`` has those of the whole; ``declared_*`` are what the record's
-    header says, which for a revisit is about the payload it refers to.  An archive is read once, as a
+    header says, which for a revisit is about the payload it refers to.  A response whose bytes do not have the declared digest raises.  An archive is read once, as a
     stream; archives are read side by side.  A truncated archive raises an error.
     """
     session(spark)
@@ -214,7 +224,8 @@ def read_archives(spark: SparkSession, archives: DataFrame, with_payload: bool =
 def round_trip(pages: DataFrame, key: str = "page_id", **options) -> DataFrame:
     """Write ``pages`` to archives, read them back and return ``key, payload_bytes, payload_digest, record_type, refers_to`` of each record.
 
-    Of a response these are counted from the bytes that were read; of a revisit they are the header's.
+    Of a response these are counted from the bytes that were read, and must be what its header says; of a revisit they are the
+    header's.
     """
     kind = pages.schema[key].dataType
     archives = write_archives(pages, fresh_dir(pages.sparkSession, "warc"), key, **options)
