@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
+from evidentia.operators.components import components
 from evidentia.llm import ann, bpe, langid, licenses, mixing, neardup, phrases, toxicity, url_filter, warc
 
 #: Columns whose names clash with the operators' own.
@@ -207,7 +208,7 @@ def test_near_duplicates_against_all_pairs(spark):
             rows.append((len(rows) * 3, " ".join(t)))
     rows += [(10_000, ""), (10_001, None), (10_002, "Two Words"), (10_003, "two words")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"crowd": 4, "block": 8}):
+    for options in ({}, {"block": 8, "mass": 2000}):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(d, percent=85, **options).collect()}
         assert got == brute_components(rows, 85)
 
@@ -218,14 +219,16 @@ def test_near_duplicates_at_the_threshold(spark):
     rows = [(2 * i + k, " ".join([f"c{i}w{j}" for j in range(80)] + [f"d{i}k{k}w{j}" for j in range(10)])) for i in range(pairs) for k in (0, 1)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert neardup.near_duplicates(d, size=1).where("kept").count() == pairs
-    for percent in (50, 80, 85, 95):
-        trees, depth = neardup.forest(percent / 100, 128, 40, 8, 1e-5)
-        assert neardup.miss_rate(percent / 100, 128, trees, depth) <= 1e-5
+    for percent in (5, 50, 80, 85, 95, 100):
+        trees, depth, positions = neardup.forest(percent / 100, 128, 1e-5)
+        assert neardup.miss_rate(percent / 100, trees, depth) <= 1e-5 and trees * depth <= positions
+        orders = neardup._orders(positions, trees, depth)
+        assert len(set(orders[:, :depth].ravel())) == trees * depth and all(len(set(row)) == len(row) for row in orders)
 
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 100)], "a long, b long")
-    got = {r["node"]: r["root"] for r in neardup.components(edges, "chain").collect()}
+    got = {r["node"]: r["root"] for r in components(edges, "chain").collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 200: 100}
 
 
