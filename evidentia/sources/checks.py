@@ -55,7 +55,7 @@ def parse_checks(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     kind = _kind(F.col("v"))
     doc = doc.withColumn(
         "error",
-        F.when(~F.coalesce("ok", F.lit(False)) | F.col("v").isNull(), MALFORMED)
+        F.when(~F.coalesce("ok", F.lit(True)) | F.col("v").isNull(), MALFORMED)
         .when(~kind.isin("OBJECT", "ARRAY"), "INPUT_NOT_AN_OBJECT")
         .when(F.col("items").isNull(), "INPUT_CHUNKS_MISSING")
         .when(F.col("output").isNull(), "INPUT_OUTPUT_MISSING")
