@@ -217,7 +217,7 @@ def _scan(shared, model, rerank: int):
                 power = part.column(3).to_numpy()
                 if power.any() or q_power.any():
                     by = np.clip(power[:, None].astype(np.int64) - q_power[None, :], -500, 500).astype(np.int32)
-                    score = np.ldexp(norm[:, None], 2 * by) - np.ldexp(2.0 * product, by)
+                    score = np.ldexp(norm[:, None], 2 * by) - np.ldexp(2.0 * product.astype(np.float64), by)
                 else:
                     score = norm[:, None] - 2.0 * product
                 score = score.T
