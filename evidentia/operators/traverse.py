@@ -123,14 +123,14 @@ def explain(nodes: DataFrame, edges: DataFrame, targets: DataFrame, max_paths: i
     return found.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
 
 
-def impact(nodes: DataFrame, edges: DataFrame, origins: DataFrame, max_nodes: int = 10_000, max_depth: int = 64, require: bool = False) -> DataFrame:
+def impact(nodes: DataFrame, edges: DataFrame, origins: DataFrame, max_nodes: int | None = 10_000, max_depth: int = 64, require: bool = False) -> DataFrame:
     """``tenant_id, origin, id, kind, run_id, delivered, distance, truncated`` of everything that rests on each origin, the origin excluded.
 
     A breadth-first frontier for all origins at once: a round joins the frontier with the edges and drops
     what was reached before; each round is written once and only read after that.  An origin reaches at most ``max_nodes``
     nodes, itself included, in the order in which they are found (that of the nodes they are reached from, then of
-    ids).  ``truncated`` tells that this limit or ``max_depth`` cut the search short.  An origin on which nothing
-    rests has one row with a null id.
+    ids); with None it reaches all, and nothing is put in order.  ``truncated`` tells that this limit or ``max_depth``
+    cut the search short.  An origin on which nothing rests has one row with a null id.
     """
     if require:
         require_nodes(nodes, origins, "origin")
@@ -143,13 +143,16 @@ def impact(nodes: DataFrame, edges: DataFrame, origins: DataFrame, max_nodes: in
             before = reduce(DataFrame.unionByName, reached).where("NOT over")
             grown = frontier.join(ahead, ["tenant_id", "id"]).groupBy("tenant_id", "origin", F.col("dst").alias("id")).agg(F.min("place").alias("_from"))
             new = grown.join(before.select("tenant_id", "origin", "id"), ["tenant_id", "origin", "id"], "left_anti")
-            order = Window.partitionBy("tenant_id", "origin").orderBy("_from", "id")
-            new = new.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_nodes)
-            size = F.lit(1)
-            if depth > 1:
-                new = new.join(before.groupBy("tenant_id", "origin").agg(F.count(F.lit(1)).alias("_size")), ["tenant_id", "origin"])
-                size = F.col("_size")
-            table = cut(new.select("tenant_id", "origin", "id", F.lit(depth).alias("distance"), "place", (F.col("place") + size > max_nodes).alias("over")), "impact-round")
+            place, over = F.lit(1), F.lit(False)
+            if max_nodes is not None:
+                order = Window.partitionBy("tenant_id", "origin").orderBy("_from", "id")
+                new = new.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= max_nodes)
+                size = F.lit(1)
+                if depth > 1:
+                    new = new.join(before.groupBy("tenant_id", "origin").agg(F.count(F.lit(1)).alias("_size")), ["tenant_id", "origin"])
+                    size = F.col("_size")
+                place, over = F.col("_place"), F.col("_place") + size > max_nodes
+            table = cut(new.select("tenant_id", "origin", "id", F.lit(depth).alias("distance"), place.alias("place"), over.alias("over")), "impact-round")
             state = [r["over"] for r in table.select("over").distinct().collect()]
             if not state:
                 break

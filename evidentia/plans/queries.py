@@ -266,8 +266,9 @@ def _of(nodes: DataFrame, where: str, name: str) -> DataFrame:
 
 
 def impact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that rests on each source and chunk, however much it is."""
     nodes, edges = _braid(spark, sf_dir)
-    found = traverse.impact(nodes, edges, _of(nodes, "kind IN ('Source', 'Chunk')", "origin"), require=True)
+    found = traverse.impact(nodes, edges, _of(nodes, "kind IN ('Source', 'Chunk')", "origin"), max_nodes=None, require=True)
     return traverse.impact_groups(found, nodes).drop("tenant_id")
 
 
