@@ -273,9 +273,9 @@ def impact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def impact_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is three steps away at most."""
+    """All that is three steps away at most."""
     nodes, edges = _braid(spark, sf_dir)
-    return traverse.impact(nodes, edges, _of(nodes, "kind IN ('Source', 'Chunk')", "origin"), max_depth=3).where("id IS NOT NULL").select("origin", "id", "distance", "truncated")
+    return traverse.impact(nodes, edges, _of(nodes, "kind IN ('Source', 'Chunk')", "origin"), max_nodes=None, max_depth=3).where("id IS NOT NULL").select("origin", "id", "distance", "truncated")
 
 
 def trace_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,7 +262,7 @@ def test_traversals_against_plain_walks(spark):
         traverse.trace(nodes, edges, spark.createDataFrame([("acme", "nothing")], "tenant_id string, target string"), require=True)
 
 
-@pytest.mark.parametrize("name", ["impact_groups"])
+@pytest.mark.parametrize("name", ["impact_groups", "impact_limits"])
 def test_impact_without_a_limit_against_sql(spark, tmp_path, name):
     """Sources on which more than the 10,000 nodes rest that are the operator's own limit."""
     n, path = 18_000, str(tmp_path / "supplier.parquet")
